@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, langid, minhash_dedup, mixing, packing, quality, sharding
+from . import exact_dedup, html_extract, langid, license_scan, minhash_dedup, mixing, packing, quality, sharding
 
 #: Documents stay whose probability of the top grade is at least this.
 KEEP = 0.5
@@ -28,6 +28,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(_table(spark, sf_dir, "pages"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_table(spark, sf_dir, "documents"))
 
@@ -48,6 +52,14 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as files: source/language/block of ids/name, where every 64th id is its directory's licence file."""
+    ident = F.col("doc_id")
+    name = F.when(ident % 64 == 0, F.concat(F.lit("LICENSE."), ident.cast("string"))).otherwise(F.concat(ident.cast("string"), F.lit(".txt")))
+    path = F.concat_ws("/", F.coalesce("source", F.lit("-")), F.coalesce("lang", F.lit("-")), F.expr("cast(doc_id div 256 AS string)"), name)
+    return license_scan.scan(_table(spark, sf_dir, "documents").withColumn("path", path))
+
+
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.minhash_dedup(_table(spark, sf_dir, "documents"), width=3, percent=85)
 
@@ -57,7 +69,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_exact_dedup, op3_sharding, op5_quality, op6_language, op7_mixing, op9_minhash, op10_packing)
+    f.__name__: f for f in (op1_exact_dedup, op2_html_extraction, op3_sharding, op5_quality, op6_language, op7_mixing, op8_licenses, op9_minhash, op10_packing)
 }
 
 ORACLE: dict[str, str] = {
