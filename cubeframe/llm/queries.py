@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html_extract, langid, license_scan, minhash_dedup, mixing, packing, quality, sharding
+from . import embed_dedup, exact_dedup, html_extract, langid, license_scan, minhash_dedup, mixing, packing, quality, sharding
 
 #: Documents stay whose probability of the top grade is at least this.
 KEEP = 0.5
@@ -36,6 +36,10 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_table(spark, sf_dir, "documents"))
 
 
+def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.embedding_dedup(_table(spark, sf_dir, "embeddings"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = quality.train(docs, quality.ratings_of(_table(spark, sf_dir, "labels")))
@@ -69,7 +73,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_exact_dedup, op2_html_extraction, op3_sharding, op5_quality, op6_language, op7_mixing, op8_licenses, op9_minhash, op10_packing)
+    f.__name__: f for f in (op1_exact_dedup, op2_html_extraction, op3_sharding, op4_embeddings, op5_quality, op6_language, op7_mixing, op8_licenses, op9_minhash, op10_packing)
 }
 
 ORACLE: dict[str, str] = {
