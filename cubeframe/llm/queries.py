@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from . import embed_dedup, exact_dedup, html_extract, langid, license_scan, minhash_dedup, mixing, packing, quality, sharding
 
 #: Documents stay whose probability of the top grade is at least this.
-KEEP = 0.5
+KEEP = 0.4
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
