@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KEY = "id_dim"
+#: Parts of the key range that are numbered apart; their counts are broadcast.
+RANGES = 65536
 
 
 def aligned(*frames: DataFrame, key: str = KEY) -> DataFrame:
@@ -31,15 +33,19 @@ def limited(rows: DataFrame, count: int, offset: int = 0, key: str | None = KEY)
 def renumbered(rows: DataFrame, start: int, key: str = KEY) -> DataFrame:
     """Row keys become start, start + 1, ... in their order, without a pass through one task.
 
-    Rows are split into ranges of keys; each range's first number follows from the counts of the ranges before (a row per range).
+    The keys' range is cut into ``RANGES`` equal parts, so a part holds at most its width of unique keys; each part's first number follows
+    from the counts of the parts before (a row per part).
     """
-    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ranged = rows.repartitionByRange(parts, key).withColumn("_cf_part", F.spark_partition_id())
-    counts = ranged.groupBy("_cf_part").agg(F.count(F.lit(1)).alias("_cf_n"))
+    low, high = rows.agg(F.min(key), F.max(key)).first()
+    if low is None:
+        return rows
+    width = -(-(high - low + 1) // RANGES)
+    parted = rows.withColumn("_cf_part", F.call_function("div", F.col(key) - low, F.lit(width)))
+    counts = parted.groupBy("_cf_part").agg(F.count(F.lit(1)).alias("_cf_n"))
     before = Window.orderBy("_cf_part").rowsBetween(Window.unboundedPreceding, -1)
     first = counts.withColumn("_cf_first", F.coalesce(F.sum("_cf_n").over(before), F.lit(0))).drop("_cf_n")
     own = F.row_number().over(Window.partitionBy("_cf_part").orderBy(key))
-    return ranged.join(F.broadcast(first), "_cf_part").withColumn(key, (F.col("_cf_first") + own - 1 + start).cast("long")).drop("_cf_part", "_cf_first")
+    return parted.join(F.broadcast(first), "_cf_part").withColumn(key, (F.col("_cf_first") + own - 1 + start).cast("long")).drop("_cf_part", "_cf_first")
 
 
 def grouped(rows: DataFrame, by: Column, columns: dict[str, Column], simple: dict[str, Column], key: str = KEY, decimals: int | None = None) -> DataFrame:
