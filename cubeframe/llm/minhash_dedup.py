@@ -7,13 +7,13 @@ intersection reaches ``percent`` times that of the union.
    each. A pair at similarity s shares a band with probability 1 - (1 - s**ROWS)**BANDS: 0.99999 at 0.85, 0.999 at 0.8.
 2. Documents with equal sets form classes (heavy-hitter split of the exact deduplication); only the smallest id
    of a class goes on, so copies never meet in a bucket.
-3. Buckets (band keys of two classes or more) propose links in rounds, and no pair inside a group is emitted
-   that the links found so far already connect: first every member is compared with its bucket's smallest id;
-   then, in buckets whose members still lie in several components, each member with the most similar signature
-   of each other component; at last all pairs of different components whose signatures pass. A bucket of
-   more than ``BLOCK`` members is worked on in pairs of blocks, so that no task takes a whole bucket.
-4. A pair must pass the estimate from its signatures (four standard errors below the threshold pass) and then
-   the exact test on both full sets. Verified links are united by large-star and small-star.
+3. In each bucket (a band key of two classes or more) every member is compared with the smallest id: the pair must pass the estimate from its
+   signatures (four standard errors below the threshold pass) and then the exact test on both full sets. Links are united by
+   large-star and small-star. A group of copies is connected here with a pair per member.
+4. Buckets whose members still lie in several components are resolved exactly: their members, with signatures and sets, meet in blocks (a
+   bucket of more than ``BLOCK`` members or ``BLOCK_BYTES`` of sets in pairs of blocks, so no task takes a whole bucket). A block tests the pairs of
+   different components, each pair in the first band it shares only, and emits a link only where it connects two components: at most
+   one per member, never the pairs. Links are united again.
 
 Defined cases: null or empty texts have an empty set and link with nothing; with fewer words than a shingle has,
 the whole sequence is the only shingle. Ids must be unique integers for links to be told apart; rows that repeat an
@@ -37,9 +37,7 @@ from .components import components
 from .exact_dedup import BROADCAST_IDS, equal_classes
 
 BANDS, ROWS = 24, 6
-BLOCK = 1024
-#: Rounds that propose one partner per other component before the round that proposes all.
-GREEDY_ROUNDS = 3
+BLOCK, BLOCK_BYTES = 1024, 8 << 20
 
 
 def _hash_family() -> tuple[np.ndarray, np.ndarray]:
@@ -128,44 +126,53 @@ def _verify(percent: int):
     return work, "a long, b long"
 
 
-def _partners(percent: int, greedy: bool):
-    """Of one pair of blocks of a bucket: pairs of different components whose signatures pass."""
+def _resolve(percent: int):
+    """Of one pair of blocks of a bucket: the links that connect components."""
     least = _least_agreement(percent)
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def work(table: pa.Table) -> pa.Table:
-        ids, comps, side = (table.column(c).to_numpy() for c in ("id", "comp", "side"))
+        ids, side = table.column("id").to_numpy(), table.column("side").to_numpy()
+        band = table.column("band")[0].as_py()
+        part = table.column("comp").to_numpy().copy()
         low = np.frombuffer(b"".join(x.as_py() for x in table.column("low")), np.uint32).reshape(len(ids), -1)
-        left = np.flatnonzero(side != 1)
-        right = np.flatnonzero(side != 0)
+        sets = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("shingles")]
+        sizes = np.array([len(s) for s in sets])
+        left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
         found: list[tuple[int, int]] = []
         for i in left:
-            others = right[(comps[right] != comps[i]) & (ids[right] > ids[i])] if not greedy else right[comps[right] != comps[i]]
+            others = right[part[right] != part[i]]
+            if side[i] == -1:
+                others = others[others > i]
+            others = others[100 * np.minimum(sizes[others], sizes[i]) >= percent * np.maximum(sizes[others], sizes[i])]
             if not len(others):
                 continue
-            alike = np.count_nonzero(low[others] == low[i], axis=1)
-            others, alike = others[alike >= least], alike[alike >= least]
-            if greedy and len(others):
-                order = np.lexsort((ids[others], -alike))
-                others = others[order][np.unique(comps[others][order], return_index=True)[1]]
-            found += [(min(ids[i], ids[j]), max(ids[i], ids[j])) for j in others]
-        found = sorted(set(found))
+            same = low[others] == low[i]
+            others = others[(same.sum(axis=1) >= least) & (same.reshape(len(others), BANDS, ROWS).all(axis=2).argmax(axis=1) == band)]
+            for start in range(0, len(others), 64):
+                some = others[start : start + 64]
+                some = some[part[some] != part[i]]
+                if not len(some):
+                    continue
+                joined = np.concatenate([sets[j] for j in some])
+                place = np.searchsorted(sets[i], joined)
+                place[place == sizes[i]] = 0
+                ends = np.cumsum(sizes[some])
+                hits = np.concatenate([[0], np.cumsum(sets[i][place] == joined)])
+                common = hits[ends] - hits[ends - sizes[some]]
+                for j in some[100 * common >= percent * (sizes[some] + sizes[i] - common)]:
+                    if part[j] != part[i]:
+                        found.append((int(ids[i]), int(ids[j])))
+                        part[part == part[j]] = part[i]
         return pa.table([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], schema=schema)
 
     return work, "a long, b long"
 
 
-def _labelled(ids: DataFrame, linked: DataFrame | None) -> DataFrame:
-    """``ids`` (id, ...) with comp: the component of the links so far."""
-    if linked is None:
-        return ids.withColumn("comp", F.col("id"))
-    return ids.join(linked.withColumnsRenamed({"node": "id", "component": "comp"}), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-
-
 def _links(docs: DataFrame, sketches: DataFrame, width: int, percent: int) -> DataFrame | None:
-    """(node, component) of the class representatives in ``sketches`` (id, bands), by verified links; None without links."""
-    keys = sketches.select("id", F.explode("bands").alias("bucket"))
-    shared = keys.groupBy("bucket").agg(F.min("id").alias("centre"), F.count(F.lit(1)).alias("members")).where("members > 1")
+    """(node, component) of the class representatives in ``sketches`` (id, rank, bands), by verified links; None without links."""
+    keys = sketches.select("id", "rank", F.posexplode("bands").alias("band", "bucket"))
+    shared = keys.groupBy("bucket").agg(F.min("id").alias("centre"), F.count(F.lit(1)).alias("members"), (F.sum("rank") * 8).alias("bytes")).where("members > 1")
     buckets = materialize(keys.join(shared, "bucket"), "buckets")
     wanted = materialize(buckets.select("id").distinct(), "candidates")
     n = wanted.count()
@@ -174,37 +181,23 @@ def _links(docs: DataFrame, sketches: DataFrame, width: int, percent: int) -> Da
     few = F.broadcast(wanted) if n <= BROADCAST_IDS else wanted
     work, types = _evidence(width)
     evidence = materialize(docs.join(few, "id", "left_semi").select("id", "text").mapInArrow(work, types).dropDuplicates(["id"]), "evidence")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        check, kind = _verify(percent)
-        one = evidence.select(F.col("id").alias("a"), F.col("low").alias("low_a"), F.col("shingles").alias("set_a"))
-        two = evidence.select(F.col("id").alias("b"), F.col("low").alias("low_b"), F.col("shingles").alias("set_b"))
-        return materialize(pairs.join(two, "b").join(one, "a").select("a", "b", "low_a", "low_b", "set_a", "set_b").mapInArrow(check, kind), "verified")
-
-    tested = materialize(buckets.where("id != centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct(), "tested")
-    found, turn = verified(tested), 0
-    while True:
-        linked = components(found)
-        labelled = _labelled(buckets.select("bucket", "id", "members"), linked)
-        open_ = labelled.groupBy("bucket").agg(F.min("comp").alias("low_comp"), F.max("comp").alias("high_comp")).where("low_comp != high_comp").select("bucket")
-        rows = materialize(labelled.join(open_, "bucket", "left_semi"), "open")
-        if not rows.head(1):
-            return linked
-        blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-        own = F.pmod(F.xxhash64("id"), blocks).cast("int")
-        spread = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(F.col("own"), o).alias("i"), F.greatest(F.col("own"), o).alias("j"), F.when(o == F.col("own"), -1).when(F.col("own") < o, 0).otherwise(1).alias("side")))
-        dealt = rows.withColumn("blocks", blocks).withColumn("own", own).withColumn("at", F.explode(spread)).select("bucket", "at.*", "id", "comp")
-        work, types = _partners(percent, turn < GREEDY_ROUNDS)
-        pairs = dealt.join(evidence.select("id", "low"), "id").groupBy("bucket", "i", "j").applyInArrow(work, types).distinct().join(tested, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "pairs")
-        if pairs.head(1):
-            tested = tested.unionByName(pairs)
-            found = found.unionByName(verified(pairs))
-        elif turn >= GREEDY_ROUNDS:
-            return linked
-        if turn >= GREEDY_ROUNDS:
-            return components(found)
-        turn = turn + 1 if pairs.head(1) else GREEDY_ROUNDS
+    pairs = buckets.where("id != centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
+    one = evidence.select(F.col("id").alias("a"), F.col("low").alias("low_a"), F.col("shingles").alias("set_a"))
+    two = evidence.select(F.col("id").alias("b"), F.col("low").alias("low_b"), F.col("shingles").alias("set_b"))
+    check, kind = _verify(percent)
+    found = materialize(pairs.join(two, "b").join(one, "a").select("a", "b", "low_a", "low_b", "set_a", "set_b").mapInArrow(check, kind), "verified")
+    linked = components(found)
+    labelled = buckets.join(linked.withColumnsRenamed({"node": "id", "component": "comp"}), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    several = labelled.groupBy("bucket").agg(F.min("comp").alias("low_comp"), F.max("comp").alias("high_comp")).where("low_comp != high_comp").select("bucket")
+    blocks = F.ceil(F.greatest(F.col("members") / BLOCK, F.col("bytes") / BLOCK_BYTES)).cast("int")
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    other = F.sequence(F.lit(0), F.col("blocks") - 1)
+    places = F.transform(other, lambda o: F.struct(F.least(F.col("own"), o).alias("i"), F.greatest(F.col("own"), o).alias("j"), F.when(o == F.col("own"), -1).when(F.col("own") < o, 0).otherwise(1).alias("side")))
+    dealt = labelled.join(several, "bucket", "left_semi").withColumn("blocks", blocks).withColumn("own", own).select("bucket", "band", "id", "comp", F.explode(places).alias("at"))
+    resolve, kind = _resolve(percent)
+    more = dealt.select("bucket", "band", "id", "comp", "at.*").join(evidence, "id").groupBy("bucket", "i", "j").applyInArrow(resolve, kind)
+    more = materialize(more, "resolved")
+    return components(found.unionByName(more)) if more.head(1) else linked
 
 
 def minhash_dedup(docs: DataFrame, width: int = 5, percent: int = 80, ident: str = "doc_id", text: str = "text") -> DataFrame:
