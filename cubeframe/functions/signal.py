@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..workers import reachable
+
 COMPLEX = "array<struct<re:double,im:double>>"
 
 
@@ -36,6 +38,7 @@ def _pairs(z: np.ndarray) -> list[list[dict[str, float]]]:
 
 def fft(m: Column) -> Column:
     """The discrete Fourier transform of real cells, as complex cells."""
+    reachable()
 
     @F.pandas_udf(COMPLEX)
     def run(cells: pd.Series) -> pd.Series:
@@ -46,6 +49,7 @@ def fft(m: Column) -> Column:
 
 def ifft(m: Column) -> Column:
     """The real part of the inverse transform of complex cells."""
+    reachable()
 
     @F.pandas_udf("array<double>")
     def run(re: pd.Series, im: pd.Series) -> pd.Series:
@@ -80,6 +84,8 @@ def _haar_back(x: np.ndarray) -> np.ndarray:
 
 
 def _plain(work: Callable[[np.ndarray], np.ndarray]) -> Callable[[Column], Column]:
+    reachable()
+
     @F.pandas_udf("array<double>")
     def run(cells: pd.Series) -> pd.Series:
         return _by_length(cells, work)

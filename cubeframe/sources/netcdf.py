@@ -12,6 +12,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
+from ..workers import reachable
+
 #: Element types by number (fixed values of the format).
 _TYPES = {1: ">i1", 2: "S1", 3: ">i2", 4: ">i4", 5: ">f4", 6: ">f8", 7: ">u1", 8: ">u2", 9: ">u4", 10: ">i8", 11: ">u8"}
 
@@ -81,6 +83,7 @@ def variable(data: bytes, name: str) -> tuple[list[str], np.ndarray]:
 
 def read_variable(spark: SparkSession, path: str, name: str) -> DataFrame:
     """A row per value: an int column of 0-based indices per dimension, and the value as a double under the variable's name."""
+    reachable(spark)
     files = spark.read.format("binaryFile").load(path).select("content")
     dims, _ = variable(bytes(files.first()["content"]), name)
     schema = ", ".join([*[f"`{d}` int" for d in dims], f"`{name}` double"])
