@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._store import materialize, ship
+from .exact_dedup import BROADCAST_IDS
 
 BLOCK_WORDS = 128
 #: The weights of the sources by code point, repeating, and most uses of a word.
@@ -203,7 +204,18 @@ def mixed_documents(docs: DataFrame, ident: str = "doc_id", text: str = "text",
     """
     documents, pieces, slots = mixture(docs, ident=ident, text=text, source=source, **options)
     takes = _used(documents, pieces, slots).where("uses > 0").groupBy("id", "number", "first").agg(F.collect_list(F.struct("start", "words", "uses")).alias("_cf_takes"))
-    takes = takes.withColumn("_cf_place", F.row_number().over(Window.partitionBy("id").orderBy("number", "first"))).select(F.col("id").alias("_cf_id"), "_cf_place", "_cf_takes")
-    numbered = docs.withColumn("_cf_place", F.row_number().over(Window.partitionBy(ident).orderBy(F.col(source).asc_nulls_last())))
-    joined = numbered.join(takes, F.col(ident).eqNullSafe(F.col("_cf_id")) & (numbered["_cf_place"] == takes["_cf_place"])).select(*[numbered[c] for c in docs.columns], "_cf_takes")
+    # Ids that repeat (or are null) take a way of their own, so that all others' texts are shuffled once.
+    repeated = materialize(documents.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR id IS NULL").select(F.col("id").alias("_cf_id")), "repeated")
+    n = repeated.count()
+    columns = [*docs.columns, "_cf_takes"]
+    if not n:
+        joined = docs.join(takes.select(F.col("id").alias("_cf_id"), "_cf_takes"), F.col(ident) == F.col("_cf_id")).select(columns)
+    else:
+        several = F.broadcast(repeated) if n <= BROADCAST_IDS else repeated
+        same = F.col(ident).eqNullSafe(F.col("_cf_id"))
+        own = takes.select(F.col("id").alias("_cf_id"), "number", "first", "_cf_takes")
+        once = docs.join(several, same, "left_anti").join(own, F.col(ident) == F.col("_cf_id")).select(columns)
+        placed = own.withColumn("_cf_place", F.row_number().over(Window.partitionBy("_cf_id").orderBy("number", "first"))).withColumnRenamed("_cf_place", "_cf_own")
+        more = docs.join(several, same, "left_semi").withColumn("_cf_place", F.row_number().over(Window.partitionBy(ident).orderBy(F.col(source).asc_nulls_last(), F.regexp_count(F.col(text), F.lit(WORD)))))
+        joined = once.unionByName(more.join(placed, same & (F.col("_cf_place") == F.col("_cf_own"))).select(columns))
     return joined.mapInArrow(_rebuild(docs.columns, ident, text), docs.schema)
