@@ -1,4 +1,4 @@
-"""Where intermediate tables go, and how executors find this package.
+"""Where intermediate tables go.
 
 Long lineages are cut by writing a Parquet table below ``spark.checkpoint.dir``, the folder that the
 driver and all executors share; a lost executor then costs a re-read instead of a recomputation.
@@ -7,12 +7,14 @@ Only when that setting is absent (tests, a laptop) is a folder of our own made.
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..workers import reachable as ship  # noqa: F401
+
+_RUN = uuid.uuid4().hex
 _OWN: list[str] = []
 
 
@@ -29,14 +31,12 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and return the table read back (lineage cut, survives lost executors)."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cubeframe/{uuid.uuid4().hex}/{name}"
+    path = f"{shared_dir(spark)}/cubeframe/{_RUN}/{uuid.uuid4().hex}/{name}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver imported it."""
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
-    if root not in paths:
-        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
+def clear(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this process; results that still read them must have been written."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/cubeframe/{_RUN}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
