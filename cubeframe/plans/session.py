@@ -106,6 +106,15 @@ class Session:
             raise SessionError(f"unknown operation {q['operation']!r}")
         return run(q, list(args or []))
 
+    def execute_many(self, text: str, runs: list[list[Any]]) -> None:
+        """Run an insert once per list of arguments, and store the fragment after the last."""
+        q = la.statement(text)
+        for args in runs:
+            self.execute(text, args)
+        (name,) = self._need(q, "frag_name")
+        if name.lower() in self._pending:
+            self.finish(name)
+
     def fetch(self) -> list[tuple]:
         """The rows of the last query."""
         return [] if self.result is None else [tuple(r) for r in self.result.collect()]

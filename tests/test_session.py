@@ -82,6 +82,19 @@ def test_import_concat_and_reduce(session):
     assert session.export("r").first()["measure"] == [23.0]
 
 
+def test_prepared_insert_and_select_from_a_file(session):
+    session.execute("operation=create_frag;frag_name=w;column_name=id_dim|measure;column_type=long|blob")
+    session.execute_many("operation=insert;frag_name=w;field=id_dim|measure;value=?|?", [[k, [float(k)] * TIME] for k in range(1, 4)])
+    assert session.export("w").count() == 3
+    with pytest.raises(SessionError):
+        session.execute("operation=insert;frag_name=w;field=id_dim|measure;value=4|'1'")
+    load = "src_path=grid;measure=v;dim_type=1|1|0;dim_index=0|1|2;dim_start=0|0|0;dim_end=3|4|23"
+    session.execute(f"operation=create_frag_select_file;frag_name=j;field=a.id_dim|sum_array(a.measure,b.measure);select_alias=id_dim|measure;from=@file|d.w;from_alias=a|b;where=a.id_dim > 1;{load}")
+    assert [(r["id_dim"], r["measure"][1]) for r in session.export("j").collect()] == [(2, 13.0), (3, 24.0)]
+    session.execute("operation=select;field=id_dim|xyz_dump('xyz_double','xyz_double',measure,'/');select_alias=i|t;from=w;where=id_dim = 2;limit=1")
+    assert session.fetch() == [(2, "/".join(["2.0"] * TIME))]
+
+
 def test_size_subset_and_errors(session):
     session.execute("operation=function;func=xyz_subset;arg='d.c'|10|'reverse(measure)'|'s'|'id_dim % 2 = 0'")
     assert [r["id_dim"] for r in session.export("s").collect()] == list(range(10, 20))
