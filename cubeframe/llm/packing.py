@@ -39,7 +39,7 @@ MOST_QUEUES = 4096
 #: Rows of the partition and queue table that are broadcast (about 50 MB); beyond it the join shuffles.
 BROADCAST_PLACES = 1 << 20
 #: Words whose ids a worker remembers; all are forgotten when there are more.
-CACHED = 300_000
+CACHED = 200_000
 
 #: Words that need no normaliser: letters of ASCII and Latin-1, then ASCII punctuation but the apostrophe.
 _PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)")
