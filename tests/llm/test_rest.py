@@ -119,6 +119,17 @@ def test_quality_scores_by_hand(spark, edge_rows):
     assert np.allclose(quality.scores(column, weights), by_hand, atol=1e-4)
 
 
+def test_quality_learns_from_rare_words():
+    """Words that fewer than 20 rated documents have still tell."""
+    marks, plain = ["achkeiter", "bomenteí", "qwzkjx"], "the river runs by the old town and its mill"
+    texts = [f"{plain} {marks[i % 3]}" if i < 18 else plain for i in range(400)]
+    table = pa.Table.from_batches(list(quality._sparse(iter([pa.record_batch([pa.array([1 if i < 18 else 2 for i in range(400)]), pa.array(texts)], names=["grade", "text"])]))))
+    at = table.column("at").combine_chunks()
+    weights, cuts = quality.fit(table.column("grade").to_numpy(), at.offsets.to_numpy(), at.values.to_numpy(), table.column("value").combine_chunks().values.to_numpy(), 2)
+    top = 1 / (1 + np.exp(cuts[-1] - quality.scores(pa.array([plain, *(f"{plain} {m}" for m in marks)]), weights)))
+    assert top[0] > 0.9 and (top[1:] < 0.4).all()
+
+
 def test_quality_without_ratings(spark, edge_docs):
     model = quality.train(edge_docs, spark.createDataFrame([(4, None), (None, 1)], "doc_id long, grade int"))
     assert quality.selected(edge_docs, model, 0.5).count() == edge_docs.count()
