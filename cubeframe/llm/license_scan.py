@@ -1,7 +1,10 @@
 """Licence scans: TF-IDF cosine of header lines and licence files to templates, then inheritance along directories. DataFrame operations only.
 
-1. A line is a header candidate if it has a licence word (``MARKER``); all lines of the whole text are looked at. A licence file (by its
-   name) is also compared as a whole.
+1. A line is a header candidate if it has a licence word (``MARKER``); all lines of the whole text are looked at. So are the windows of 2
+   to 4 joined lines around it, as notices are broken over lines, and the blocks (between blank lines, or lines of comment signs only)
+   that have such a word. A licence file (by its name) is also compared as a whole; its text is known by its title or its grant.
+   An SPDX line is not compared but read: the first one's identifier is the licence (``-only``, ``-or-later`` and ``+`` of templates'
+   names left off; identifiers without a template and expressions stay as they are).
 2. The weights: the presence of each template word in the text, times its inverse document frequency, which is counted over all
    documents. A word that is in no template weighs as much as one that no document has, so that prose
    around a licence word lowers the cosine. The vectors of the templates are a literal map of at most their words, so lines
@@ -25,26 +28,32 @@ from pyspark.sql import functions as F
 
 from ._store import materialize
 
-#: Short notices by licence (fixed values, after the licences' own recommended wording).
+#: Notices, titles and grants by licence (fixed values, after the licences' own wording).
 TEMPLATES: dict[str, tuple[str, ...]] = {
-    "AGPL-3.0": ("This work is licensed under the GNU Affero General Public License, version 3.",),
-    "Apache-2.0": ("Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License."),
+    "AGPL-3.0": ("This work is licensed under the GNU Affero General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007",),
+    "Apache-2.0": ("Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.", "Apache License Version 2.0, January 2004"),
     "BSD-3-Clause": ("Released under the BSD 3-Clause License.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     "CC-BY-4.0": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     "CC0-1.0": ("Released into the public domain under CC0 1.0.",),
-    "GPL-2.0": ("This work is licensed under the GNU General Public License, version 2.",),
-    "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License, version 3."),
-    "ISC": ("Released under the ISC License.",),
-    "LGPL-3.0": ("This work is licensed under the GNU Lesser General Public License, version 3.",),
-    "MIT": ("Released under the MIT License.", "Licensed under the MIT License."),
-    "MPL-2.0": ("This work is licensed under the Mozilla Public License, version 2.0.",),
+    "GPL-2.0": ("This work is licensed under the GNU General Public License, version 2.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or (at your option) any later version.", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991",),
+    "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    "ISC": ("Released under the ISC License.", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",),
+    "LGPL-3.0": ("This work is licensed under the GNU Lesser General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007",),
+    "LGPL-2.1": ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 2.1 of the License, or (at your option) any later version.", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
+    "MIT": ("Released under the MIT License.", "Licensed under the MIT License.", "The MIT License (MIT)", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"),
+    "MPL-2.0": ("This work is licensed under the Mozilla Public License, version 2.0.", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.", "Mozilla Public License Version 2.0",),
     "Proprietary": ("All rights reserved.",),
     "Unlicense": ("This is free and unencumbered software released into the public domain.",),
 }
 #: Words that make a line a candidate, and names of licence files (fixed patterns).
-MARKER = r"(?i)licen[cs]e|rights\s+reserved|public\s+domain|redistribut|SPDX-"
+MARKER = r"(?i)licen[cs]e|rights\s+reserved|public\s+domain|redistribut|hereby|SPDX-"
+#: What an SPDX line declares: one identifier, or an expression of several.
+SPDX = r"(?i)SPDX-License-Identifier:[ \t]*(\(*[a-z0-9][a-z0-9.+-]*\)*(?:[ \t]+(?:AND|OR|WITH)[ \t]+\(*[a-z0-9][a-z0-9.+-]*\)*)*)"
+#: Lines that windows join, and what parts blocks: lines without a letter or digit.
+WINDOWS = (2, 3, 4)
+BLOCK_BREAK = r"\R(?:[^\p{L}\p{N}\r\n]*\R)+"
 LICENCE_FILE = r"(?i)(^|/)(LICEN[CS]E|COPYING|UNLICENSE)([._-][^/]*)?$"
 WORD_BREAK = r"[^a-z0-9]+"
 LEAST = 0.6
@@ -89,11 +98,23 @@ def scan(files: DataFrame, ident: str = "doc_id", path: str = "path", text: str
     """One row per file: id, path, license, evidence (``header``, ``file``, ``inherited`` or null), similarity, license_from (the path it is from)."""
     total, frequency = document_frequency(files, text)
     whole = F.coalesce(F.col(text), F.lit(""))
-    lines = F.when(whole.rlike(MARKER), F.filter(F.split(whole, r"\R"), lambda x: x.rlike(MARKER))).otherwise(F.array().cast("array<string>"))
     named = F.coalesce(F.col(path).rlike(LICENCE_FILE), F.lit(False))
-    candidates = F.concat(lines, F.when(named, F.array(whole)).otherwise(F.array().cast("array<string>")))
-    found = files.select(F.col(ident).alias("id"), F.col(path).alias("path"), named.alias("named"), candidates.alias("lines")).withColumn(
-        "best", F.array_max(F.transform("lines", lambda x: _best(_words(x), total, frequency)))
+    none = F.array().cast("array<string>")
+    marked = whole.rlike(MARKER)
+    parted = files.select(
+        F.col(ident).alias("id"), F.col(path).alias("path"), named.alias("named"), F.when(named, F.array(whole)).otherwise(none).alias("wholes"),
+        F.when(marked, F.split(F.regexp_replace(whole, SPDX, ""), r"\R")).otherwise(none).alias("lines"),
+        F.when(marked, F.filter(F.split(F.regexp_replace(whole, SPDX, ""), BLOCK_BREAK), lambda x: x.rlike(MARKER))).otherwise(none).alias("blocks"),
+        F.regexp_extract(whole, SPDX, 1).alias("spdx"),
+    )
+    parted = parted.withColumn("at", F.filter(F.transform("lines", lambda x, i: F.when(x.rlike(MARKER), i)), lambda i: i.isNotNull()))
+    around = F.array_distinct(F.flatten(F.transform("at", lambda i: F.flatten(F.transform(F.filter(F.array(*map(F.lit, WINDOWS)), lambda w: w <= F.size("lines")), lambda w: F.transform(F.sequence(F.greatest(i - w + 1, F.lit(0)), F.least(i, F.size("lines") - w)), lambda k: F.struct(k.alias("k"), w.alias("w"))))))))
+    texts = F.concat("wholes", F.transform("at", lambda i: F.get("lines", i)), F.transform(around, lambda x: F.array_join(F.slice("lines", x["k"] + 1, x["w"]), " ")), "blocks")
+    plain = F.regexp_replace("spdx", r"(?i)(-only|-or-later|\+)$", "")
+    declared = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for n in TEMPLATES for x in (n.lower(), n)]), F.lower(plain)), F.col("spdx"))
+    found = parted.withColumn("texts", F.array_distinct(texts)).withColumn(
+        "best",
+        F.when(F.col("spdx") != "", F.struct(F.lit(1.0).alias("similarity"), F.lit(0).alias("first"), declared.alias("licence"))).otherwise(F.array_max(F.transform("texts", lambda x: _best(_words(x), total, frequency)))),
     )
     good = F.coalesce(F.col("best.similarity") >= LEAST, F.lit(False))
     own = materialize(

@@ -214,6 +214,20 @@ def test_licences(spark, edge_docs, no_docs):
     assert license_scan.scan(no_docs.withColumn("path", F.lit("x"))).count() == 0
 
 
+def test_licences_over_lines_and_spdx(spark):
+    gpl = " * This program is free software; you can redistribute it and/or modify\n * it under the terms of the GNU General Public License{} as published by\n * the Free Software Foundation{}\n */\nint x;"
+    mit = "Copyright 2020 A\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:\n\nThe above copyright notice"
+    rows = [
+        ("# SPDX-License-Identifier: MIT\nx = 1", "MIT"), ("// SPDX-License-Identifier: Apache-2.0", "Apache-2.0"), ("/* SPDX-License-Identifier: GPL-2.0-only */", "GPL-2.0"), ("# SPDX-License-Identifier: EPL-2.0", "EPL-2.0"), ("SPDX-License-Identifier: (MIT OR Apache-2.0)\n", "(MIT OR Apache-2.0)"),
+        (gpl.format(" version 2", "."), "GPL-2.0"), (gpl.format("", ", either version 2 of the License, or\n * (at your option) any later version."), "GPL-2.0"), (gpl.format("", ", either version 3 of the License, or\n * (at your option) any later version."), "GPL-3.0"),
+        (gpl.format("", ", either version 3 of the License, or\n * (at your option) any later version.").replace("GNU General", "GNU Affero General"), "AGPL-3.0"), (mit, "MIT"), ("                 Apache License\n           Version 2.0, January 2004\n\n   TERMS AND CONDITIONS FOR USE", "Apache-2.0"),
+    ]
+    prose = [(100 + i, f"p{i}/a", "plain words of a text that is about other things") for i in range(200)]
+    files = spark.createDataFrame([(i, f"d{i}/f", text) for i, (text, _) in enumerate(rows)] + prose, "doc_id long, path string, text string")
+    got = {r["doc_id"]: r["license"] for r in license_scan.scan(files).collect()}
+    assert [got[i] for i in range(len(rows))] == [want for _, want in rows] and all(got[100 + i] is None for i in range(200))
+
+
 def test_cosine_by_hand(spark):
     import math
 
