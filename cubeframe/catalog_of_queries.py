@@ -200,6 +200,12 @@ def language_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exploded(_session(spark, sf_dir).execute(q))
 
 
+def language_join_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As language_join, over all keys of both fragments."""
+    q = "operation=select;field=a.id_dim|mul_array(a.measure,b.measure);select_alias=id_dim|measure;from=d.lines|d.qty;from_alias=a|b;where=a.id_dim = b.id_dim"
+    return exploded(_session(spark, sf_dir).execute(q))
+
+
 def language_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = "operation=select;field=id(id_dim,10)|sum_scalar(aggregate_operator(measure,'SUM'),1);select_alias=id_dim|measure;from=hours;group=id(id_dim,10)"
     return exploded(_session(spark, sf_dir).execute(q))
@@ -360,6 +366,7 @@ _NAMED: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] =
     "language_select": (language_select, _unfold(f"SELECT * FROM ({_EMB}) WHERE (id_dim - 2) % 3 = 0 AND id_dim BETWEEN 2 AND 400", "list_transform(range(4), lambda g: list_max(m[g * 16 + 1:g * 16 + 16]))")),
     "language_where": (language_where, f"WITH f AS ({_LINES}) SELECT id_dim, CAST(len(m) + 1 AS DOUBLE) AS v FROM f WHERE ((1 + ((id_dim - 1) // 10) % 10) = 1 AND NOT id_dim % 2 = 0) OR id_dim = 4"),
     "language_join": (language_join, _unfold("SELECT l_orderkey + 1 AS id_dim, list(l_extendedprice ORDER BY l_linenumber, l_extendedprice) AS m, list(l_quantity ORDER BY l_linenumber, l_quantity) AS q FROM lineitem WHERE l_orderkey < 5000 GROUP BY l_orderkey", "list_transform(m, lambda x, i: x * q[i])")),
+    "language_join_all": (language_join_all, _unfold("SELECT l_orderkey + 1 AS id_dim, list(l_extendedprice ORDER BY l_linenumber, l_extendedprice) AS m, list(l_quantity ORDER BY l_linenumber, l_quantity) AS q FROM lineitem GROUP BY l_orderkey", "list_transform(m, lambda x, i: x * q[i])")),
     "language_group": (language_group, f"""WITH e AS (SELECT 1 + (id_dim - 1) // 10 AS id_dim, unnest(range(24)) AS pos, unnest(m) AS x FROM ({_HOURS}))
         SELECT id_dim, pos, round(sum(x) + 1, {DIGITS}) + 0.0 AS v FROM e GROUP BY id_dim, pos"""),
     "language_limit_order": (language_limit_order, f"WITH f AS ({_LINES}) SELECT id_dim, m[1] AS v FROM (SELECT * FROM f ORDER BY id_dim LIMIT 20 OFFSET 5)"),
