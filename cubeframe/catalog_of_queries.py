@@ -269,6 +269,14 @@ def cube_transposed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exploded(cube.from_long(hour_rows(spark, sf_dir).where("user < 50"), "value", dims, fill=0.0))
 
 
+def cube_transposed_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As cube_transposed, with as many places as the table has users."""
+    rows = hour_rows(spark, sf_dir)
+    users = rows.agg(F.max("user")).first()[0]
+    dims = [cube.Dim("hour", 24, True), cube.Dim("user", (users or 0) + 1, False)]
+    return exploded(cube.from_long(rows, "value", dims, fill=0.0))
+
+
 def cube_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = hour_rows(spark, sf_dir)
     both = cube.concatenated([day, day], "hour", [24, 24])
@@ -381,6 +389,8 @@ _NAMED: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] =
         SELECT u.user_id + 1 AS id_dim, h - 6 AS pos, round(coalesce(sum(value), 0), {DIGITS}) + 0.0 AS v FROM u CROSS JOIN range(6, 12) t(h) LEFT JOIN events e ON e.user_id = u.user_id AND hour(e.ts) = h GROUP BY u.user_id, h"""),
     "cube_transposed": (cube_transposed, f"""WITH hs AS (SELECT DISTINCT hour(ts) AS h FROM events WHERE user_id < 50)
         SELECT h + 1 AS id_dim, u AS pos, round(coalesce(sum(value), 0), {DIGITS}) + 0.0 AS v FROM hs CROSS JOIN range(50) t(u) LEFT JOIN events e ON e.user_id = u AND hour(e.ts) = h GROUP BY h, u"""),
+    "cube_transposed_all": (cube_transposed_all, f"""WITH hs AS (SELECT DISTINCT hour(ts) AS h FROM events), us AS (SELECT unnest(range(max(user_id) + 1)) AS u FROM events)
+        SELECT h + 1 AS id_dim, u AS pos, round(coalesce(sum(value), 0), {DIGITS}) + 0.0 AS v FROM hs CROSS JOIN us LEFT JOIN events e ON e.user_id = u AND hour(e.ts) = h GROUP BY h, u"""),
     "cube_concat": (cube_concat, _unfold(_HOURS, "list_concat(m, m)")),
     "reduce_at_source": (reduce_at_source, f"SELECT user_id + 1 AS id_dim, CAST(0 AS BIGINT) AS pos, round(max(s), {DIGITS}) + 0.0 AS v FROM (SELECT user_id, hour(ts) AS h, sum(value) AS s FROM events GROUP BY ALL) GROUP BY user_id"),
     "cube_round_trip": (cube_round_trip, f'SELECT user_id AS "user", hour(ts) AS "hour", round(sum(value), {DIGITS}) AS v FROM events GROUP BY ALL HAVING sum(value) <> 0'),
