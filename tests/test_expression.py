@@ -16,23 +16,36 @@ def test_values(spark, text, wanted):
     assert value(spark, text, a=3, b=2) == wanted
 
 
-def test_subset_vectors(spark):
-    first = "is_in_subset(id_to_index2(id_dim,10,10),1,1,1) AND is_in_subset(id_to_index2(id_dim,1,10),1,1,1)"
-    second = "(is_in_subset(id_to_index2(id_dim,10,10),1,1,1) OR is_in_subset(id_to_index2(id_dim,10,10),2,1,2)) AND (is_in_subset(id_to_index2(id_dim,1,10),1,1,1) OR is_in_subset(id_to_index2(id_dim,1,10),7,1,8))"
-    assert [value(spark, first, id_dim=k) for k in (1, 2)] == [1, 0]
-    assert [value(spark, second, id_dim=k) for k in (1, 11, 2)] == [1, 1, 0]
-    rows = spark.createDataFrame([(2,), (8,), (16,)], "id_dim long").select(index.block_id3(F.col("id_dim"), F.array(*[F.lit(n) for n in (7, 8, 5)]), 1))
-    assert [r[0] for r in rows.collect()] == [1, 2, 3]
+#: A grid of 7 rows and 11 columns: id_dim = 11 * (row - 1) + column.
+ROW, COLUMN = "id_to_index2(id_dim, 11, 7)", "id_to_index2(id_dim, 1, 11)"
 
 
-@pytest.mark.parametrize("text", ["(1 + 2", "1 +", "a ~ b", "f(1,", "id_to_index2(id_dim,10,10,2)", "id_to_index(1)", "nosuch(1)", "missing + 1"])
+@pytest.mark.parametrize(("text", "wanted"), [
+    (f"{ROW} = 3 AND {COLUMN} <= 2", [23, 24]),
+    (f"is_in_subset({ROW}, 2, 3, 7) AND is_in_subset({COLUMN}, 4, 5, 11)", [15, 20, 48, 53]),
+    (f"(is_in_subset({ROW}, 6, 1, 6) OR {ROW} = 1) AND NOT is_in_subset({COLUMN}, 1, 1, 9)", [10, 11, 65, 66]),
+    ("is_in_subset(id_dim, 70, 4, 77)", [70, 74]),
+])
+def test_subsets_of_a_grid(spark, text, wanted):
+    grid = spark.range(1, 78).withColumnRenamed("id", "id_dim")
+    assert [r[0] for r in grid.where(condition(text, F.col)).orderBy("id_dim").collect()] == wanted
+
+
+def test_groups_of_uneven_sizes(spark):
+    """Groups of 2, 1 and 4 ids, repeating: 1 2 | 3 | 4 5 6 7 | 8 9 | 10 | ..."""
+    rows = spark.range(1, 11).orderBy("id").select(index.block_id3(F.col("id"), F.array(*[F.lit(n) for n in (2, 1, 4)]), 1))
+    assert [r[0] for r in rows.collect()] == [1, 1, 2, 3, 3, 3, 3, 4, 4, 5]
+
+
+@pytest.mark.parametrize("text", ["(1 + 2", "1 +", "a ~ b", "f(1,", "id_to_index2(id_dim, 11, 7, 1)", "id_to_index2(id_dim)", "id_to_index(id_dim)", "nosuch(1)", "missing + 1"])
 def test_errors(spark, text):
     with pytest.raises(ValueError):
         compile_expression(text, {"id_dim": F.col("id_dim")}.__getitem__)
 
 
 def test_variables():
-    assert variables("b + a + f(?2) + ?1 + ?2") == {"a", "b", "?1", "?2"}
+    assert variables("?3 * lat - reverse(lon, ?1) / lat") == {"lat", "lon", "?1", "?3"}
+    assert variables("7 + 'lat'") == set()
 
 
 def test_condition_takes_any_number(spark):
