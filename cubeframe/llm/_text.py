@@ -1,13 +1,16 @@
 """Word and shingle hashing of whole Arrow string columns with numpy, without a Python string per word.
 
-Every byte maps to a random 64-bit value; a word's hash is the polynomial sum of its bytes' values, taken
-from one running sum over the batch (multiplied by the inverse power of the base at the word's start) and
-mixed. A-Z map to the values of a-z, so lower-casing is free. White space is ``[\\x20\\x09-\\x0D]``.
+Every byte maps to a random value; a word's hash is the polynomial sum of its bytes' values, in two rings: modulo 2**64, and modulo
+the prime 2**31 - 1, as the first alone has words of 1024 letters that hash alike whatever its base. Both are taken from running sums (multiplied by
+the inverse power of the base at the word's start), combined and mixed. A-Z map to the values of a-z, so lower-casing is free. White space is
+``[\\x20\\x09-\\x0D]``. Texts are worked on in windows, and powers are a product of two small tables, so nothing that is kept grows with a text.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import contextlib
+import ctypes
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -19,6 +22,11 @@ CHUNK_BYTES = 1 << 20
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
+_PRIME = (1 << 31) - 1
+_SMALL_BASE = 0x3C6EF372
+_SMALL_INVERSE, _SMALL_BITS = pow(_SMALL_BASE, -1, _PRIME), 15
+#: Bytes whose running sums are taken at once; powers are those within a window times that of the window.
+_WINDOW = 1 << 16
 _tables: dict[str, np.ndarray] = {}
 
 
@@ -29,27 +37,72 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(name: str, base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64, kept for later calls."""
-    have = _tables.get(name)
-    if have is None or len(have) < n:
-        have = np.full(max(n, CHUNK_BYTES + 1), base, np.uint64)
-        have[0] = 1
-        have = np.cumprod(have, dtype=np.uint64)
-        _tables[name] = have
-    return have[:n]
+def _powers(base: int, modulus: int) -> np.ndarray:
+    """base**0 .. base**(window - 1) by the modulus."""
+    key = f"powers{base}"
+    if key not in _tables:
+        out, one = np.empty(_WINDOW, np.uint64), 1
+        for i in range(_WINDOW):
+            out[i] = one
+            one = one * base % modulus
+        _tables[key] = out
+    return _tables[key]
 
 
 def _byte_values(lower: bool) -> np.ndarray:
+    """The odd 64-bit values of the bytes; their first ``_SMALL_BITS`` bits, which differ too, are the values in the second ring."""
     key = f"bytes{lower}"
     if key not in _tables:
-        values = np.random.Generator(np.random.PCG64(20240229)).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        random = np.random.Generator(np.random.PCG64(20240229))
+        first = random.permutation(np.arange(1, 1 << _SMALL_BITS, dtype=np.uint64))[:256]
+        values = first << np.uint64(64 - _SMALL_BITS) | random.integers(0, 1 << 48, 256, dtype=np.uint64) * np.uint64(2) | np.uint64(1)
         if lower:
             values[65:91] = values[97:123]
         _tables[key] = values
     return _tables[key]
 
 
+def _long_word(own: np.ndarray) -> tuple[int, int]:
+    """The sums of a word's byte values, window by window."""
+    wide = small = 0
+    for first in range(0, len(own), _WINDOW):
+        part = own[first : first + _WINDOW]
+        wide += int((part * _powers(_BASE, 1 << 64)[: len(part)]).sum(dtype=np.uint64)) * pow(_BASE, first, 1 << 64)
+        part = part >> np.uint64(64 - _SMALL_BITS)
+        small += int((part * _powers(_SMALL_BASE, _PRIME)[: len(part)]).sum(dtype=np.uint64)) * pow(_SMALL_BASE, first, _PRIME)
+    return wide % (1 << 64), small % _PRIME
+
+
+def _word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool) -> np.ndarray:
+    """The hash of the bytes starts[i] .. ends[i] of each word; words are in order and don't overlap."""
+    prime, shift, values = np.uint64(_PRIME), np.uint64(64 - _SMALL_BITS), _byte_values(lower)
+    powers, back = _powers(_BASE, 1 << 64), _powers(_INVERSE, 1 << 64)
+    small_powers, small_back = _powers(_SMALL_BASE, _PRIME), _powers(_SMALL_INVERSE, _PRIME)
+    wide, small = np.empty(len(starts), np.uint64), np.empty(len(starts), np.uint64)
+    most = min(_WINDOW, len(data))
+    run, buffer = np.zeros(most + 1, np.uint64), np.empty(most, np.uint64)
+    i = 0
+    while i < len(starts):
+        # A window holds whole words, the first of them at its start; a word longer than a window stands alone.
+        first = int(starts[i])
+        j = i + int(np.searchsorted(ends[i : i + _WINDOW], first + _WINDOW, "right"))
+        if j == i:
+            wide[i], small[i] = _long_word(values[data[first : int(ends[i])]])
+            i += 1
+            continue
+        own = values[data[first : int(ends[j - 1])]]
+        at, to, n = starts[i:j] - first, ends[i:j] - first, len(own)
+        np.multiply(own, powers[:n], out=buffer[:n])
+        np.cumsum(buffer[:n], out=run[1 : n + 1])
+        wide[i:j] = (run[to] - run[at]) * back[at]
+        np.right_shift(own, shift, out=own)
+        np.multiply(own, small_powers[:n], out=own)
+        np.cumsum(own, out=run[1 : n + 1])  # of 15 + 31 + 16 bits
+        small[i:j] = (run[to] - run[at]) % prime * small_back[at] % prime
+        i = j
+    return mix(wide + small * np.uint64(0xD1B54A32D192ED03))
+
+
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -67,12 +120,11 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batch in runs of rows of about ``most`` bytes of text; every row is in one run."""
+def slices(batch: pa.RecordBatch, column: str | int, most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows of about ``most`` bytes of text (a column by name or place); every row is in one run."""
     if not batch.num_rows:
         return
-    at = batch.schema.get_field_index(column)
-    _, offsets = flat(batch.column(at))
+    _, offsets = flat(batch.column(column))
     start = 0
     while start < batch.num_rows:
         end = max(start + 1, int(np.searchsorted(offsets, offsets[start] + most, "right")) - 1)
@@ -80,6 +132,25 @@ def slices(batch: pa.RecordBatch, column: str, most: int = CHUNK_BYTES) -> Itera
         start = end
 
 
+def release() -> None:
+    """Hand free memory back to the system: workers live on after their task, and what their allocators hold would add up."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def frugal(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same function of batches, which releases memory when it ends."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            release()
+
+    return run
+
+
 class Words(NamedTuple):
     hashes: np.ndarray
     #: Where each word starts and ends in the batch's bytes.
@@ -106,9 +177,7 @@ def words(column: pa.Array, lower: bool = True) -> Words:
     closes[-1] = True
     np.logical_or(~inside[1:], first[1:n], out=closes[:-1])
     starts, ends = np.flatnonzero(inside & opens), np.flatnonzero(inside & closes) + 1
-    running = np.zeros(n + 1, np.uint64)
-    np.cumsum(_byte_values(lower)[data] * _powers("up", _BASE, n), out=running[1:])
-    hashes = mix((running[ends] - running[starts]) * _powers("down", _INVERSE, n)[starts])
+    hashes = _word_hashes(data, starts, ends, lower)
     return Words(hashes, starts, ends, np.searchsorted(starts, offsets))
 
 
