@@ -9,9 +9,6 @@ from pyspark.sql import functions as F
 
 from . import embed_dedup, exact_dedup, html_extract, langid, license_scan, minhash_dedup, mixing, packing, quality, sharding
 
-#: Documents stay whose probability of the top grade is at least this.
-KEEP = 0.4
-
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -43,7 +40,7 @@ def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = quality.train(docs, quality.ratings_of(_table(spark, sf_dir, "labels")))
-    return quality.graded(docs, model, ["doc_id"]).withColumn("kept", F.col("p_top") >= KEEP)
+    return quality.graded(docs, model, ["doc_id"]).withColumn("kept", F.col("p_top") >= model.least)
 
 
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:

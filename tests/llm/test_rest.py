@@ -1,3 +1,4 @@
+import math
 import re
 import zlib
 from collections import Counter
@@ -7,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from cubeframe.llm import html_extract, langid, license_scan, mixing, packing, quality, sharding
+from cubeframe.llm import _text, html_extract, langid, license_scan, mixing, packing, quality, sharding
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -111,25 +112,93 @@ def test_quality(spark, edge_docs, no_docs):
     assert quality.graded(no_docs, model, ["doc_id"]).count() == 0
 
 
-def test_quality_scores_by_hand(spark, edge_rows):
-    column = pa.array([r[1] for r in edge_rows])
+def sparse(texts, grades):
+    n = len(texts)
+    batch = pa.record_batch([pa.array(range(n), pa.int64()), pa.array(grades, pa.int32()), pa.array([1] * n, pa.int64()), pa.array(texts, pa.string())], names=["key", "grade", "weight", "text"])
+    return pa.Table.from_batches(list(quality._sparse(iter([batch]))))
+
+
+def test_quality_scores_by_hand(edge_rows):
+    """Words and trigrams counted one by one, with the hashes of words alone."""
     weights = np.random.default_rng(2).normal(size=(2 << quality.BITS) + 1)
-    table = pa.Table.from_batches(list(quality._sparse(iter([pa.record_batch([pa.array([0] * len(column)), column], names=["grade", "text"])]))))
-    by_hand = [sum(weights[a] * v for a, v in zip(r["at"], r["value"], strict=True)) for r in table.to_pylist()]
-    assert np.allclose(quality.scores(column, weights), by_hand, atol=1e-4)
+    texts, by_hand = [r[1] for r in edge_rows], []
+    for text in texts:
+        words = [w.translate({i: i + 32 for i in range(65, 91)}) for w in WORD.findall(text or "")]
+        data, score = (text or "").encode(), 0.0
+        buckets = Counter(int(_text.words(pa.array([w])).hashes[0] >> np.uint64(64 - quality.BITS)) for w in words)
+        score += sum(weights[b] * math.log1p(n) * quality.WORD_SCALE / math.sqrt(len(words)) for b, n in buckets.items())
+        grams = [data[i] | data[i + 1] << 8 | data[i + 2] << 16 for i in range(len(data) - 2)]
+        score += sum(weights[(1 << quality.BITS) + ((g * 0x9E3779B1 & 0xFFFFFFFF) >> 32 - quality.BITS)] for g in grams) * quality.TRIGRAM_SCALE / max(len(grams), 1)
+        score += weights[-1] * sum(a == b for a, b in zip(words, words[1:], strict=False)) * quality.REPEAT_SCALE / max(len(words), 1)
+        by_hand.append(score)
+    assert np.allclose(quality.scores(pa.array(texts), weights), by_hand, atol=1e-4)
+    _, _, bounds, at, values = quality._arrays(sparse(texts, [0] * len(texts)))
+    assert np.allclose(np.add.reduceat(weights[at] * values, bounds[:-1]), by_hand, atol=0.05)
+
+
+def test_quality_gradient():
+    """The fit's direction is that of finite differences of the likelihood."""
+    random = np.random.default_rng(8)
+    n, cuts = 60, np.array([-0.4, 0.9])
+    scores, grades, counts = random.normal(size=n), random.integers(0, 3, n), random.integers(1, 4, n)
+
+    def loss(scores, cuts):
+        above = 1 / (1 + np.exp(-(scores[:, None] - np.concatenate([[-40.0], cuts, [40.0]])[None, :])))
+        return -(np.log(above[np.arange(n), grades] - above[np.arange(n), grades + 1]) * counts).sum() / counts.sum()
+
+    by_score, by_cut = quality.slopes(scores, cuts, grades, counts / counts.sum())
+    e = 1e-6
+    for i in range(n):
+        moved = scores.copy()
+        moved[i] += e
+        assert (loss(moved, cuts) - loss(scores, cuts)) / e == pytest.approx(by_score[i], abs=1e-5)
+    for k in range(2):
+        moved = cuts.copy()
+        moved[k] += e
+        assert (loss(scores, moved) - loss(scores, cuts)) / e == pytest.approx(by_cut[k], abs=1e-5)
+
+
+def test_quality_counts_are_repeats():
+    """A row with a count is as many rows."""
+    texts, grades = ["good plain words", "bad words", "rude words here"], [2, 0, 1]
+    _, _, *once = quality._arrays(sparse(texts, grades))
+    _, _, *many = quality._arrays(sparse([t for t, n in zip(texts, (3, 1, 2), strict=True) for _ in range(n)], [2, 2, 2, 0, 1, 1]))
+    a = quality.fit(np.array(grades), *once, 2, np.array([3, 1, 2]))
+    b = quality.fit(np.array([2, 2, 2, 0, 1, 1]), *many, 2)
+    assert np.allclose(a[0], b[0], atol=1e-3) and np.allclose(a[1], b[1], atol=1e-3)
+
+
+def test_quality_threshold():
+    values, counts = np.array([0.9, 0.1, 0.5, 0.7]), np.array([1, 1, 2, 6])
+    assert quality._quantile(values, counts, 0.1, 0.3) == 0.5 and quality._quantile(values, counts, 0.05, 0.3) == 0.1
+    assert quality._quantile(values[:0], counts[:0], 0.1, 0.3) == 0.3
+    assert quality._shares(10) == pytest.approx((0.8, 0.2)) and sum(quality._shares(10**6)) == pytest.approx(0.016)
 
 
 def test_quality_learns_from_rare_words():
     """Words that fewer than 20 rated documents have still tell."""
     marks, plain = ["achkeiter", "bomenteí", "qwzkjx"], "the river runs by the old town and its mill"
     texts = [f"{plain} {marks[i % 3]}" if i < 18 else plain for i in range(400)]
-    table = pa.Table.from_batches(list(quality._sparse(iter([pa.record_batch([pa.array([1 if i < 18 else 2 for i in range(400)]), pa.array(texts)], names=["grade", "text"])]))))
-    at = table.column("at").combine_chunks()
-    weights, cuts = quality.fit(table.column("grade").to_numpy(), at.offsets.to_numpy(), at.values.to_numpy(), table.column("value").combine_chunks().values.to_numpy(), 2)
+    grades, _, *found = quality._arrays(sparse(texts, [1 if i < 18 else 2 for i in range(400)]))
+    weights, cuts = quality.fit(grades, *found, 2)
     top = 1 / (1 + np.exp(cuts[-1] - quality.scores(pa.array([plain, *(f"{plain} {m}" for m in marks)]), weights)))
     assert top[0] > 0.9 and (top[1:] < 0.4).all()
 
 
+def test_quality_sample_is_bounded(monkeypatch, spark):
+    """An id with very many ratings and very many rows is one row per grade; texts with many features are fewer."""
+    docs = rated(spark).select("doc_id", "text").unionByName(spark.range(500).select(F.lit(7).cast("long").alias("doc_id"), F.lit("BUY!! NOW!! CHEAP!! DEAL!! 7").alias("text")))
+    ratings = rated(spark).select("doc_id", "grade").unionByName(spark.range(500).select(F.lit(7).cast("long").alias("doc_id"), F.lit(0).alias("grade")))
+    seen = []
+    fit = quality.fit
+    monkeypatch.setattr(quality, "fit", lambda *a: seen.append(a) or fit(*a))
+    quality.train(docs, ratings)
+    assert len(seen[0][0]) < 600
+    monkeypatch.setattr(quality, "RATED_FEATURES", 500)
+    quality.train(docs, ratings)
+    assert len(seen[1][0]) < len(seen[0][0]) / 2
+
+
 def test_quality_without_ratings(spark, edge_docs):
     model = quality.train(edge_docs, spark.createDataFrame([(4, None), (None, 1)], "doc_id long, grade int"))
     assert quality.selected(edge_docs, model, 0.5).count() == edge_docs.count()
@@ -252,7 +321,6 @@ def test_pack(edge_docs, edge_rows, near_docs, near_rows, no_docs, tokenizer):
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(tokenizer)
-    plain.encode_special_tokens = True
     for docs, rows, length in ((edge_docs, edge_rows, 4096), (near_docs, near_rows, 64)):
         got = packing.pack(docs, tokenizer, length=length, window=4).collect()
         ids = {r[0]: [*plain.encode(r[1] or "", add_special_tokens=False).ids, 2] for r in rows}
@@ -293,7 +361,6 @@ def test_encoder_is_the_tokenizer(tokenizer, edge_rows):
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(tokenizer)
-    plain.encode_special_tokens = True
     texts = [r[1] or "" for r in edge_rows] + ["It's 3.14, isn't it? ÀÉ×÷ß ªº µ²", "x y\x85z\x1cw", "'s 's' d'accord İstanbul ΣΑΣ ΟΔΟΣ", "a" * 300, "!?.,-()[]{}|~`^_ @#$%&* ab,cd e.f.", "é ́e"]
     encode = packing.encoder(tokenizer)
     for _ in range(2):
