@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import _text
 from ._store import materialize, ship
 from .components import components
 from .exact_dedup import equal_classes
@@ -319,7 +320,7 @@ def embedding_dedup(vectors: DataFrame, least: float = 0.98, shard_rows: int = S
         crossed = graphs.join(other, "label").where("i < j").drop("label", "i", "j")
         blocks = blocks.unionByName(crossed)
     check, kind = _compare(least)
-    found = materialize(blocks.repartition(max(1, min(shards, 4096))).mapInArrow(check, kind), "links")
+    found = materialize(blocks.repartition(max(1, min(shards, 4096))).mapInArrow(_text.frugal(check), kind), "links")
     linked = components(found.where("b IS NOT NULL").select("a", "b"))
     counts = found.where("b IS NULL").groupBy(F.col("a").alias("class_id")).agg(F.sum("links").alias("links"))
     placed = (

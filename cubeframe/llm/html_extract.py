@@ -342,4 +342,4 @@ def extract(pages: DataFrame, field: Field | None = None, ident: str = "page_id"
                 texts = [main_text(x, shared.value) for x in batch.column(2).to_pylist()]
                 yield pa.record_batch([batch.column(0).cast(pa.int64()), batch.column(1).cast(pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], schema=schema)
 
-    return pages.select(F.col(ident).cast("long").alias("id"), F.col("url").cast("string") if "url" in pages.columns else F.lit(None).cast("string").alias("url"), F.col(html).alias("html")).mapInArrow(work, "id long, url string, text string, n_chars long").withColumnRenamed("id", ident)
+    return pages.select(F.col(ident).cast("long").alias("id"), F.col("url").cast("string") if "url" in pages.columns else F.lit(None).cast("string").alias("url"), F.col(html).alias("html")).mapInArrow(_text.frugal(work), "id long, url string, text string, n_chars long").withColumnRenamed("id", ident)

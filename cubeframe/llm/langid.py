@@ -90,7 +90,7 @@ def train(rows: DataFrame, smoothing: float = 0.5, ident: str = "doc_id", text:
         share = F.when(F.col("lang") == name, F.lit(min(1.0, LANGUAGE_DOCS / n))).otherwise(share)
     sample = rows.where(F.pmod(F.xxhash64(F.col("id"), F.lit("langid")), F.lit(1 << 30)) < share * (1 << 30))
     counts = np.full((1 << BUCKET_BITS, len(languages)), smoothing)
-    summed = sample.select("lang", "text").mapInArrow(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()  # at most a cell each
+    summed = sample.select("lang", "text").mapInArrow(_text.frugal(_count), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()  # at most a cell each
     counts[summed.column("bucket").to_numpy(), np.searchsorted(languages, summed.column("lang").to_pylist())] += summed.column("n").to_numpy()
     prior = np.log([sizes[x] / sum(sizes.values()) for x in languages])
     matrix = np.log(counts / counts.sum(axis=0))
@@ -129,7 +129,7 @@ def identify(docs: DataFrame, training: DataFrame, ident: str = "doc_id", text:
     ship(spark)
     model = train(training, ident=ident, text=text, lang=lang)
     work, types = _predict(spark.sparkContext.broadcast(model if len(model) == 3 else (*model, np.zeros(0))))
-    return docs.select(F.col(ident).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(work, types).withColumnRenamed("id", ident)
+    return docs.select(F.col(ident).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(_text.frugal(work), types).withColumnRenamed("id", ident)
 
 
 def fold(ident: Column, folds: int = 3) -> Column:

@@ -180,12 +180,12 @@ def _links(docs: DataFrame, sketches: DataFrame, width: int, percent: int) -> Da
         return None
     few = F.broadcast(wanted) if n <= BROADCAST_IDS else wanted
     work, types = _evidence(width)
-    evidence = materialize(docs.join(few, "id", "left_semi").select("id", "text").mapInArrow(work, types).dropDuplicates(["id"]), "evidence")
+    evidence = materialize(docs.join(few, "id", "left_semi").select("id", "text").mapInArrow(_text.frugal(work), types).dropDuplicates(["id"]), "evidence")
     pairs = buckets.where("id != centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
     one = evidence.select(F.col("id").alias("a"), F.col("low").alias("low_a"), F.col("shingles").alias("set_a"))
     two = evidence.select(F.col("id").alias("b"), F.col("low").alias("low_b"), F.col("shingles").alias("set_b"))
     check, kind = _verify(percent)
-    found = materialize(pairs.join(two, "b").join(one, "a").select("a", "b", "low_a", "low_b", "set_a", "set_b").mapInArrow(check, kind), "verified")
+    found = materialize(pairs.join(two, "b").join(one, "a").select("a", "b", "low_a", "low_b", "set_a", "set_b").mapInArrow(_text.frugal(check), kind), "verified")
     linked = components(found)
     labelled = buckets.join(linked.withColumnsRenamed({"node": "id", "component": "comp"}), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     several = labelled.groupBy("bucket").agg(F.min("comp").alias("low_comp"), F.max("comp").alias("high_comp")).where("low_comp != high_comp").select("bucket")
@@ -205,7 +205,7 @@ def minhash_dedup(docs: DataFrame, width: int = 5, percent: int = 80, ident: str
     ship(docs.sparkSession)
     texts = docs.select(F.col(ident).cast("long").alias("id"), F.col(text).alias("text"))
     work, types = _sketches(width)
-    sketches = materialize(texts.mapInArrow(work, types), "sketches")
+    sketches = materialize(texts.mapInArrow(_text.frugal(work), types), "sketches")
     classes = materialize(equal_classes(sketches.where("key IS NOT NULL").select("id", "key", "rank")).select("id", F.col("rank").alias("n_shingles"), F.col("keep_id").alias("class_id")), "classes")
     first = classes.where("id = class_id").select("id").distinct()
     linked = _links(texts, sketches.where("key IS NOT NULL").join(first, "id", "left_semi").dropDuplicates(["id"]), width, percent)

@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import _text
 from ._store import materialize, ship
 from .exact_dedup import BROADCAST_IDS
 
@@ -147,7 +148,7 @@ def mixture(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = CA
     plan = [(m, s, int(firsts[m, s]), int(drawn[m, s]), int(slots[m, s])) for m in range(drawn.shape[0]) for s in range(drawn.shape[1]) if drawn[m, s]]
     work, types = _slots(blocks, seed)
     tasks = max(1, min(len(plan), int(drawn.sum()) // SHARD_SLOTS + 1))
-    table = spark.createDataFrame(plan, "out_shard int, number int, first long, count long, slot long").repartition(tasks).mapInArrow(work, types)
+    table = spark.createDataFrame(plan, "out_shard int, number int, first long, count long, slot long").repartition(tasks).mapInArrow(_text.frugal(work), types)
     return documents, pieces, table
 
 
@@ -218,4 +219,4 @@ def mixed_documents(docs: DataFrame, ident: str = "doc_id", text: str = "text",
         placed = own.withColumn("_cf_place", F.row_number().over(Window.partitionBy("_cf_id").orderBy("number", "first"))).withColumnRenamed("_cf_place", "_cf_own")
         more = docs.join(several, same, "left_semi").withColumn("_cf_place", F.row_number().over(Window.partitionBy(ident).orderBy(F.col(source).asc_nulls_last(), F.regexp_count(F.col(text), F.lit(WORD)))))
         joined = once.unionByName(more.join(placed, same & (F.col("_cf_place") == F.col("_cf_own"))).select(columns))
-    return joined.mapInArrow(_rebuild(docs.columns, ident, text), docs.schema)
+    return joined.mapInArrow(_text.frugal(_rebuild(docs.columns, ident, text)), docs.schema)
