@@ -14,9 +14,9 @@ from cubeframe.llm._store import materialize
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents go whose probability of the top grade is below ``queries.KEEP``."""
+    """Documents go whose probability of the top grade is below what the model asks for (see ``quality.CLEAN_LOSS``)."""
     model = quality.train(docs, quality.ratings_of(spark.read.parquet(f"{sf_dir}/labels.parquet")))
-    return quality.selected(docs, model, queries.KEEP)
+    return quality.selected(docs, model)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
