@@ -66,6 +66,14 @@ _MEAN = "list_avg(m)"
 #: name: (fragment, its SQL, measure to Column, its SQL).
 _E, _L, _H = (embeddings, _EMB), (order_lines, _LINES), (user_hours, _HOURS)
 _call = lambda name, *args: lambda m: registry.call(registry.resolve(name), [m, *args])
+#: What math and the binary operators compute, in SQL of the elements x and m[65 - i].
+_MATH = {
+    "abs": "abs(x)", "atan": "atan(x)", "ceil": "ceil(x)", "floor": "floor(x)", "cos": "cos(x)", "sin": "sin(x)", "tan": "tan(x)", "exp": "exp(x)", "sign": "sign(x)", "neg": "-x", "pow2": "x * x", "degrees": "degrees(x)",
+    "radians": "radians(x)", "rint": "round_even(x, 0)", "cosh": "(exp(x) + exp(-x)) / 2", "sinh": "(exp(x) - exp(-x)) / 2", "tanh": "(exp(x) - exp(-x)) / (exp(x) + exp(-x))", "nan2zero": "x",
+}
+_PAIRS = {
+    "sum": "x + m[65 - i]", "sub": "x - m[65 - i]", "mul": "x * m[65 - i]", "max": "greatest(x, m[65 - i])", "min": "least(x, m[65 - i])", "avg": "(x + m[65 - i]) / 2", "abs": "abs(x - m[65 - i])", "arg": "atan2(x, m[65 - i])",
+}
 ARRAY_CASES: dict[str, tuple[tuple, Callable[[Column], Column], str]] = {
     "abs_array": (_E, _call("abs_array"), "list_transform(m, lambda x: abs(x))"),
     "accumulate": (_L, _call("accumulate"), "list_transform(m, lambda x, i: list_sum(m[1:i]))"),
@@ -132,6 +140,14 @@ ARRAY_CASES: dict[str, tuple[tuple, Callable[[Column], Column], str]] = {
     "sum_scalar2": (_L, _call("sum_scalar2", -1), "list_transform(m, lambda x: x - 1)"),
     "to_bin": (_L, lambda m: arrays.to_bin(arrays.dump(m)), "m"),
     "value_to_bin": (_L, lambda m: arrays.value_to_bin(F.element_at(m, 1)), "[m[1]]"),
+    "math_all": (_E, lambda m: F.concat(*[arrays.math(m, f) for f in _MATH]), "flatten([" + ", ".join(f"list_transform(m, lambda x: CAST({sql} AS DOUBLE))" for sql in _MATH.values()) + "])"),
+    "operator_all": (_L, lambda m: F.concat(*[arrays.operator(m, f"XYZ_{o}") for o in ("sum", "avg", "max", "min", "count")]), "[list_sum(m), list_avg(m), list_max(m), list_min(m), CAST(len(m) AS DOUBLE)]"),
+    "operator_spread": (_H, lambda m: F.concat(*[arrays.operator(m, o) for o in ("std", "var")]), "[list_stddev_samp(m), list_var_samp(m)]"),
+    "operator_array_all": (_E, lambda m: F.concat(*[arrays.operator_array(m, F.reverse(m), o) for o in _PAIRS]), "flatten([" + ", ".join(f"list_transform(m, lambda x, i: {sql})" for sql in _PAIRS.values()) + "])"),
+    "operation_array_all": (_E, lambda m: F.concat(*[arrays.operation_array(o, m, F.reverse(m), m) for o in ("sum", "mul", "max", "min")]), "flatten([list_transform(m, lambda x, i: x + m[65 - i] + x), list_transform(m, lambda x, i: x * m[65 - i] * x), list_transform(m, lambda x, i: greatest(x, m[65 - i])), list_transform(m, lambda x, i: least(x, m[65 - i]))])"),
+    "gsl_stats_all": (_E, _call("gsl_stats"), "[list_avg(m), list_var_samp(m), list_stddev_samp(m), list_avg(list_transform(m, lambda x: pow(x - list_avg(m), 3))) / pow(list_var_pop(m), 1.5), list_avg(list_transform(m, lambda x: pow(x - list_avg(m), 4))) / pow(list_var_pop(m), 2) - 3, list_min(m), list_max(m)]"),
+    "normalize_far": (_E, lambda m: arrays.normalize(F.transform(m, lambda x: x + 1e6)), "list_transform(m, lambda x: (x - list_avg(m)) / list_stddev_pop(m))"),
+    "empty_cells": (_L, lambda m: F.concat(arrays.reduce2(F.filter(m, lambda x: x < 0), "sum", 2, 2), arrays.reduce3(F.filter(m, lambda x: x < 0), "sum", [2]), arrays.sequence(1, 1, 0), arrays.accumulate(F.filter(m, lambda x: x < 0)), m), "m"),
 }
 SCALAR_CASES: dict[str, tuple[tuple, Callable[[Column], Column], str]] = {
     "compare": (_E, lambda m: arrays.compare(m, F.reverse(m)), "CAST(CASE WHEN m = list_reverse(m) THEN 0 WHEN m < list_reverse(m) THEN -1 ELSE 1 END AS BIGINT)"),
@@ -142,7 +158,7 @@ SCALAR_CASES: dict[str, tuple[tuple, Callable[[Column], Column], str]] = {
     "size_array": (_L, _call("size_array"), "CAST(len(m) AS BIGINT)"),
     "dump": (_H, lambda m: arrays.dump(F.transform(m, lambda x: F.floor(x))), "array_to_string(list_transform(m, lambda x: CAST(CAST(floor(x) AS BIGINT) AS VARCHAR)), ', ')"),
 }
-#: Without SQL: held against numpy in the tests.
+#: Those without SQL are held against numpy in the tests.
 SIGNAL_CASES: dict[str, Callable[[Column], Column]] = {
     "gsl_fft": lambda m: stats.complex_get_abs(signal.fft(m)),
     "gsl_ifft": lambda m: signal.ifft(signal.fft(m)),
@@ -153,6 +169,15 @@ SIGNAL_CASES: dict[str, Callable[[Column], Column]] = {
     "ccluster_kcluster": lambda m: signal.kcluster(m, 3),
 }
 _ROUND_TRIPS = ("gsl_ifft", "gsl_idwt")
+#: By definition: sums of cosines and sines, sums over halves of blocks, the taps one by one.
+_SIGNAL_SQL = {
+    "gsl_fft": "list_transform(range(64), lambda k: sqrt(pow(list_sum(list_transform(m, lambda x, i: x * cos(2 * pi() * k * (i - 1) / 64))), 2) + pow(list_sum(list_transform(m, lambda x, i: x * sin(2 * pi() * k * (i - 1) / 64))), 2)))",
+    "gsl_dwt": """list_transform(range(64), lambda p: CASE WHEN p = 0 THEN list_sum(m) / 8 ELSE
+        (list_sum(m[(p - (1 << CAST(floor(log2(p)) AS INT))) * (64 >> CAST(floor(log2(p)) AS INT)) + 1:(p - (1 << CAST(floor(log2(p)) AS INT))) * (64 >> CAST(floor(log2(p)) AS INT)) + (32 >> CAST(floor(log2(p)) AS INT))])
+        - list_sum(m[(p - (1 << CAST(floor(log2(p)) AS INT))) * (64 >> CAST(floor(log2(p)) AS INT)) + (32 >> CAST(floor(log2(p)) AS INT)) + 1:(p - (1 << CAST(floor(log2(p)) AS INT)) + 1) * (64 >> CAST(floor(log2(p)) AS INT))]))
+        / sqrt(64 >> CAST(floor(log2(p)) AS INT)) END)""",
+    "filter": "list_transform(m, lambda x, i: 0.5 * x + 0.3 * (CASE WHEN i > 1 THEN m[i - 1] ELSE 0 END) + 0.2 * (CASE WHEN i > 2 THEN m[i - 2] ELSE 0 END))",
+}
 
 
 def _keys(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -206,6 +231,32 @@ def language_join_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exploded(_session(spark, sf_dir).execute(q))
 
 
+def language_join_three(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three fragments, of which one lacks keys."""
+    s = _session(spark, sf_dir)
+    s.store("large", order_lines(spark, sf_dir).where(F.size("measure") > 3))
+    q = "operation=select;field=a.id_dim|sum_array(a.measure,b.measure,c.measure);select_alias=id_dim|measure;from=d.lines|d.qty|d.large;from_alias=a|b|c;where=a.id_dim = b.id_dim"
+    return exploded(s.execute(q))
+
+
+def language_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows as one group, with two aggregates in a field."""
+    q = "operation=select;field=sub_array(aggregate_operator(measure,'MAX'),aggregate_operator(measure,'MIN'));select_alias=measure;from=d.emb"
+    return exploded(_session(spark, sf_dir).execute(q).withColumn("id_dim", F.lit(1).cast("long")))
+
+
+def language_offset_past_end(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _session(spark, sf_dir).execute("operation=select;field=id_dim;from=d.emb;limit=1000000000|5")
+
+
+def aggregate_stats_far(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of values far from zero, from the states of two halves."""
+    rows = _table(spark, sf_dir, "orders").select(index.block_id(F.col("o_orderkey") + 1, 500).alias("g"), "o_orderkey", F.array(F.col("o_orderkey") + 1e9).alias("measure"))
+    halves = [aggregate.stats_partial(rows.where(F.col("o_orderkey") % 2 == k), ["g"]) for k in (0, 1)]
+    found = aggregate.stats_final(halves[0].unionByName(halves[1]), ["g"])
+    return found.select("g", F.col("count").alias("n"), F.round("avg", 2).alias("x_avg"), F.round("std", DIGITS).alias("x_std"))
+
+
 def language_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = "operation=select;field=id(id_dim,10)|sum_scalar(aggregate_operator(measure,'SUM'),1);select_alias=id_dim|measure;from=hours;group=id(id_dim,10)"
     return exploded(_session(spark, sf_dir).execute(q))
@@ -375,6 +426,11 @@ _NAMED: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] =
     "language_where": (language_where, f"WITH f AS ({_LINES}) SELECT id_dim, CAST(len(m) + 1 AS DOUBLE) AS v FROM f WHERE ((1 + ((id_dim - 1) // 10) % 10) = 1 AND NOT id_dim % 2 = 0) OR id_dim = 4"),
     "language_join": (language_join, _unfold("SELECT l_orderkey + 1 AS id_dim, list(l_extendedprice ORDER BY l_linenumber, l_extendedprice) AS m, list(l_quantity ORDER BY l_linenumber, l_quantity) AS q FROM lineitem WHERE l_orderkey < 5000 GROUP BY l_orderkey", "list_transform(m, lambda x, i: x * q[i])")),
     "language_join_all": (language_join_all, _unfold("SELECT l_orderkey + 1 AS id_dim, list(l_extendedprice ORDER BY l_linenumber, l_extendedprice) AS m, list(l_quantity ORDER BY l_linenumber, l_quantity) AS q FROM lineitem GROUP BY l_orderkey", "list_transform(m, lambda x, i: x * q[i])")),
+    "language_join_three": (language_join_three, _unfold("SELECT * FROM (SELECT l_orderkey + 1 AS id_dim, list(l_extendedprice ORDER BY l_linenumber, l_extendedprice) AS m, list(l_quantity ORDER BY l_linenumber, l_quantity) AS q FROM lineitem GROUP BY l_orderkey) WHERE len(m) > 3", "list_transform(m, lambda x, i: x + q[i] + x)")),
+    "language_aggregate": (language_aggregate, f"""WITH e AS (SELECT unnest(range(64)) AS pos, unnest(list_transform(embedding, lambda x: CAST(x AS DOUBLE))) AS x FROM embeddings)
+        SELECT CAST(1 AS BIGINT) AS id_dim, pos, round(max(x) - min(x), {DIGITS}) + 0.0 AS v FROM e GROUP BY pos"""),
+    "language_offset_past_end": (language_offset_past_end, "SELECT vec_id + 1 AS id_dim FROM embeddings WHERE false"),
+    "aggregate_stats_far": (aggregate_stats_far, f"SELECT 1 + o_orderkey // 500 AS g, count(*) AS n, round(avg(o_orderkey) + 1e9, 2) AS x_avg, round(stddev_samp(o_orderkey), {DIGITS}) AS x_std FROM orders GROUP BY 1 + o_orderkey // 500"),
     "language_group": (language_group, f"""WITH e AS (SELECT 1 + (id_dim - 1) // 10 AS id_dim, unnest(range(24)) AS pos, unnest(m) AS x FROM ({_HOURS}))
         SELECT id_dim, pos, round(sum(x) + 1, {DIGITS}) + 0.0 AS v FROM e GROUP BY id_dim, pos"""),
     "language_limit_order": (language_limit_order, f"WITH f AS ({_LINES}) SELECT id_dim, m[1] AS v FROM (SELECT * FROM f ORDER BY id_dim LIMIT 20 OFFSET 5)"),
@@ -417,4 +473,5 @@ ORACLE: dict[str, str] = {
     **{f"array_{n}": _unfold(s[1], sql) for n, (s, _, sql) in ARRAY_CASES.items()},
     **{f"array_{n}": _scalar(s[1], sql) for n, (s, _, sql) in SCALAR_CASES.items()},
     **{f"array_{n}": _unfold(_EMB, "m") for n in _ROUND_TRIPS},
+    **{f"array_{n}": _unfold(_EMB, sql) for n, sql in _SIGNAL_SQL.items()},
 }

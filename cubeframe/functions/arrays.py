@@ -127,12 +127,13 @@ def cast(m: Column, kind: str) -> Column:
 
 
 def normalize(m: Column) -> Column:
-    """Elements less the mean, over the standard deviation (of the population); null if that is 0."""
-    moments = F.aggregate(m, F.struct(_zero().alias("s"), _zero().alias("q")), lambda a, x: F.struct((a["s"] + x).alias("s"), (a["q"] + x * x).alias("q")))
-    mean = moments["s"] / F.size(m)
-    # The moments are bound once per cell, by a transform over an array of one.
-    bound = F.transform(F.array(F.struct(mean.alias("mean"), F.sqrt(F.greatest(moments["q"] / F.size(m) - mean * mean, _zero())).alias("sd"))), lambda b: F.transform(m, lambda x: F.try_divide(x - b["mean"], b["sd"])))
-    return F.get(bound, F.lit(0))
+    """Elements less the mean, over the standard deviation (of the population); null if that is 0. Null elements don't count and stay null."""
+    valid = F.filter(m, lambda x: x.isNotNull())
+    n = F.size(valid)
+    # The mean, then the deviation from it, are bound once per cell, by transforms over arrays of one.
+    means = F.array(F.try_divide(F.aggregate(valid, _zero(), lambda a, x: a + x), n))
+    both = F.transform(means, lambda c: F.struct(c.alias("mean"), F.sqrt(F.try_divide(F.aggregate(valid, _zero(), lambda a, x: a + (x - c) * (x - c)), n)).alias("sd")))
+    return F.get(F.transform(both, lambda b: F.transform(m, lambda x: F.try_divide(x - b["mean"], b["sd"]))), F.lit(0))
 
 
 # Reductions.
@@ -185,18 +186,21 @@ def reduce2(m: Column, name: str, block: int, inner: int) -> Column:
     """As ``reduce`` along the outer of two dimensions, the inner (fastest) of ``inner`` elements: blocks of ``block`` outer steps, element by element of the inner."""
     span = block * inner
     count = F.ceil(F.size(m) / span).cast("int") * inner
-    return F.transform(F.sequence(F.lit(0), count - 1), lambda g: whole(F.filter(F.slice(m, F.call_function("div", g, F.lit(inner)).cast("int") * span + 1, F.lit(span)), lambda _, i: i % inner == g % inner), name))
+    reduced = F.transform(F.sequence(F.lit(0), count - 1), lambda g: whole(F.filter(F.slice(m, F.call_function("div", g, F.lit(inner)).cast("int") * span + 1, F.lit(span)), lambda _, i: i % inner == g % inner), name))
+    return F.when(F.size(m) > 0, reduced).when(m.isNotNull(), F.array().cast("array<double>"))
 
 
 def reduce3(m: Column, name: str, sizes: list[int]) -> Column:
     """Groups of the given sizes, repeating until the array ends, reduced to one each."""
+    if not sizes or min(sizes) <= 0:
+        raise ValueError("sizes must be positive")
     ends, period = [], sum(sizes)
     for s in sizes:
         ends.append((ends[-1][0] + ends[-1][1] if ends else 0, s))
     groups = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(n).alias("n")) for a, n in ends])
     turns = F.ceil(F.size(m) / period).cast("int")
     spans = F.filter(F.flatten(F.transform(F.sequence(F.lit(0), turns - 1), lambda t: F.transform(groups, lambda g: F.struct((t * period + g["a"]).alias("a"), g["n"].alias("n"))))), lambda g: g["a"] < F.size(m))
-    return F.transform(spans, lambda g: whole(F.slice(m, g["a"] + 1, g["n"]), name))
+    return F.when(F.size(m) > 0, F.transform(spans, lambda g: whole(F.slice(m, g["a"] + 1, g["n"]), name))).when(m.isNotNull(), F.array().cast("array<double>"))
 
 
 def size_array(m: Column) -> Column:
@@ -218,10 +222,43 @@ def compare(a: Column, b: Column) -> Column:
     return F.when(a == b, 0).when(a < b, -1).otherwise(1).cast("long")
 
 
+def _scanned(m: Column, decay: float) -> Column:
+    """As ``running``, by appending to the result, which copies it at each step: for short arrays."""
+    start = F.struct(_zero().alias("s"), F.array().cast("array<double>").alias("out"))
+
+    def step(a: Column, x: Column) -> Column:
+        now = a["s"] * decay + x
+        return F.struct(now.alias("s"), F.array_append(a["out"], now).alias("out"))
+
+    return F.aggregate(m, start, step, lambda a: a["out"])
+
+
+def running(m: Column, decay: float = 1.0) -> Column:
+    """y[i] = decay * y[i - 1] + x[i], from 0 on; null from the first null element on.
+
+    Blocks as long as the root of the array are run from 0 each, and then get what the blocks before leave of them, so
+    what is copied grows with the power 1.5 of the length.
+    """
+    width = F.ceil(F.sqrt(F.size(m).cast("double"))).cast("int")
+    blocks = F.transform(F.sequence(F.lit(0), F.ceil(F.size(m) / width).cast("int") - 1), lambda b: _scanned(F.slice(m, b * width + 1, width), decay))
+
+    def joined(parts: Column) -> Column:
+        start = F.struct(_zero().alias("s"), F.array().cast("array<double>").alias("out"))
+        # What each block starts from: all blocks but the last are of the same width.
+        last = F.transform(parts, lambda p: F.element_at(p, -1))
+        kept = F.pow(F.lit(float(decay)), width)
+        firsts = F.aggregate(last, start, lambda a, x: F.struct((a["s"] * kept + x).alias("s"), F.array_append(a["out"], a["s"]).alias("out")), lambda a: a["out"])
+        grown = lambda x, first, i: x + first * (F.pow(F.lit(float(decay)), i + 1) if decay != 1 else F.lit(1.0))
+        pairs = F.arrays_zip(parts.alias("p"), firsts.alias("f"))
+        return F.flatten(F.transform(pairs, lambda z: F.transform(z["p"], lambda x, i: grown(x, z["f"], i))))
+
+    whole_ = F.get(F.transform(F.array(blocks), joined), F.lit(0))
+    return F.when(F.size(m) > 0, whole_).when(m.isNotNull(), F.array().cast("array<double>"))
+
+
 def accumulate(m: Column) -> Column:
     """Running sums."""
-    start = F.struct(_zero().alias("s"), F.array().cast("array<double>").alias("out"))
-    return F.aggregate(m, start, lambda a, x: F.struct((a["s"] + x).alias("s"), F.array_append(a["out"], a["s"] + x).alias("out")), lambda a: a["out"])
+    return running(m)
 
 
 def deaccumulate(m: Column) -> Column:
@@ -270,6 +307,8 @@ def get_index_array(m: Column) -> Column:
 
 def get_subarray(m: Column, start: int = 1, count: int | None = None, step: int = 1) -> Column:
     """``count`` elements from ``start`` on (to the end without it), each ``step``-th."""
+    if start < 1 or step < 1 or (count is not None and count < 0):
+        raise ValueError("start and step must be 1 or more, and count not negative")
     part = F.slice(m, F.lit(start), F.lit(count) if count is not None else F.greatest(F.size(m) - start + 1, F.lit(0)))
     return part if step == 1 else F.filter(part, lambda _, i: i % step == 0)
 
@@ -334,6 +373,9 @@ def shift(m: Column, by: int = 1, fill: Number = 0.0) -> Column:
 
 
 def sequence(start: float, step: float, count: int) -> Column:
+    """``count`` numbers from ``start`` on; none for a count of 0."""
+    if count <= 0:
+        return F.array().cast("array<double>")
     return F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: F.lit(float(start)) + i * F.lit(float(step)))
 
 

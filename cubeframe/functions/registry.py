@@ -15,6 +15,7 @@ from typing import Any
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..operators import aggregate
 from . import arrays, index, signal, stats
 
 
@@ -25,7 +26,8 @@ class Primitive:
     #: Least and most arguments, without leading type names (None: any number more).
     least: int
     most: int | None
-    #: simple: a Column of a row; aggregate: over the rows of a group (see operators.aggregate).
+    #: simple: a Column of a row. aggregate: built from the elements at a position, an aggregate over the rows of a group, which
+    #: gives an element of the result. rows: built from the cells and the row keys, an aggregate that gives the whole result.
     kind: str = "simple"
     #: integer, real, or array.
     returns: str = "array"
@@ -36,7 +38,7 @@ TYPE_NAMES = frozenset([*arrays.TYPES, "string", "complex"])
 
 
 def register(name: str, build: Callable[..., Column], least: int, most: int | None = -1, kind: str = "simple", returns: str = "array") -> None:
-    """Add a primitive; ``most`` of -1 means as many as ``least``."""
+    """Add a primitive, an aggregate one too; ``most`` of -1 means as many as ``least``."""
     REGISTRY[name] = Primitive(name, build, least, least if most == -1 else most, kind, returns)
 
 
@@ -54,6 +56,8 @@ def is_type(value: Any) -> bool:
 
 def call(primitive: Primitive, args: list[Any]) -> Column:
     """The primitive on arguments: Columns, numbers and strings."""
+    if primitive.kind in ("aggregate", "rows"):
+        raise ValueError("an aggregate primitive stands at the top of a field, or under simple primitives")
     kinds = []
     while args and primitive.kind != "index" and is_type(args[0]) and len(kinds) < 2:
         kinds.append(arrays._tail(args[0]))
@@ -202,9 +206,19 @@ for _name, _build, _least, _most, _returns in (
     register(_name, _build, _least, _most, returns=_returns)
 
 
-def _over_rows(*_args: Any) -> Column:
-    raise ValueError("an aggregate primitive stands at the top of a field, or under simple primitives")
+def _operator(x: Column, name: Any = "sum") -> Column:
+    return aggregate.OPERATORS[str(name).lower().rsplit("_", 1)[-1]](x).cast("double")
 
 
-for _name in ("aggregate_operator", "aggregate_stats", "aggregate_stats_partial", "aggregate_stats_final", "roll_up"):
-    register(_name, _over_rows, 1, 2, "aggregate")
+def _stats(x: Column, *_: Any) -> Column:
+    """A struct of the statistics by name, where numbers in a fixed order would need their meaning remembered."""
+    return F.struct(*[c.alias(n) for n, c in aggregate.full_stats(x).items()])
+
+
+def _state(x: Column, *_: Any) -> Column:
+    return F.struct(*[c.alias(n) for n, c in aggregate.partial_state(x).items()])
+
+
+for _name, _build in (("aggregate_operator", _operator), ("aggregate_stats", _stats), ("aggregate_stats_partial", _state), ("aggregate_stats_final", _stats)):
+    register(_name, _build, 1, 2, "aggregate")
+register("roll_up", aggregate.in_order, 1, 2, "rows")

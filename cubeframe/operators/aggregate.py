@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 OPERATORS: dict[str, Callable[[Column], Column]] = {
@@ -35,25 +35,44 @@ def aggregate_fixed(rows: DataFrame, keys: list[str], operator: str, length: int
     return rows.groupBy(*keys).agg(F.array(*[work(F.get(measure, F.lit(i))).cast("double") for i in range(length)]).alias(measure))
 
 
+def partial_state(x: Column) -> dict[str, Column]:
+    """The mergeable state of values, as aggregates."""
+    return {"n": F.count(x), "s": F.sum(x), "mean": F.avg(x), "m2": F.var_pop(x) * F.count(x), "low": F.min(x), "high": F.max(x)}
+
+
+def full_stats(x: Column) -> dict[str, Column]:
+    """Count, sum, mean, standard deviation (of a sample) and extremes of values, as aggregates."""
+    return {"count": F.count(x), "sum": F.sum(x), "avg": F.avg(x), "std": F.stddev_samp(x), "min": F.min(x), "max": F.max(x)}
+
+
 def stats_partial(rows: DataFrame, keys: list[str], measure: str = "measure") -> DataFrame:
-    """keys, pos and the mergeable state of each position: count, sum, sum of squares, extremes."""
+    """keys, pos and the mergeable state of each position: count, sum, mean, sum of squared distances from the mean, extremes."""
     long = rows.select(*keys, F.posexplode(measure).alias("pos", "x"))
-    return long.groupBy(*keys, "pos").agg(F.count("x").alias("n"), F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q"), F.min("x").alias("low"), F.max("x").alias("high"))
+    return long.groupBy(*keys, "pos").agg(*[c.alias(n) for n, c in partial_state(F.col("x")).items()])
 
 
 def stats_final(partial: DataFrame, keys: list[str]) -> DataFrame:
     """Merges states of the same (keys, pos) and finishes them: count, sum, avg, std, min, max."""
-    merged = partial.groupBy(*keys, "pos").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"), F.min("low").alias("low"), F.max("high").alias("high"))
-    variance = F.try_divide(F.col("q") - F.try_divide(F.col("s") * F.col("s"), F.col("n")), F.col("n") - 1)
-    return merged.select(*keys, "pos", F.col("n").alias("count"), F.col("s").alias("sum"), F.try_divide("s", "n").alias("avg"), F.sqrt(F.greatest(variance, F.lit(0.0))).alias("std"), F.col("low").alias("min"), F.col("high").alias("max"))
+    # The states' means are compared with the whole mean, so that nothing large is subtracted; both passes have the same partitions.
+    own = Window.partitionBy(*keys, "pos")
+    moved = partial.withColumn("_cf_off", F.col("mean") - F.try_divide(F.sum("s").over(own), F.sum("n").over(own)))
+    merged = moved.groupBy(*keys, "pos").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum(F.col("m2") + F.col("n") * F.col("_cf_off") * F.col("_cf_off")).alias("m2"), F.min("low").alias("low"), F.max("high").alias("high"))
+    variance = F.try_divide("m2", F.col("n") - 1)
+    return merged.select(*keys, "pos", F.col("n").alias("count"), F.col("s").alias("sum"), F.try_divide("s", "n").alias("avg"), F.sqrt(variance).alias("std"), F.col("low").alias("min"), F.col("high").alias("max"))
 
 
 def aggregate_stats(rows: DataFrame, keys: list[str], measure: str = "measure") -> DataFrame:
     """keys, pos, count, sum, avg, std, min, max of each position over the rows of a group."""
-    return stats_final(stats_partial(rows, keys, measure), keys)
+    long = rows.select(*keys, F.posexplode(measure).alias("pos", "x"))
+    return long.groupBy(*keys, "pos").agg(*[c.alias(n) for n, c in full_stats(F.col("x")).items()])
+
+
+def in_order(cells: Column, order: Column, *_: object) -> Column:
+    """An aggregate: the arrays of a group by the order, end to end."""
+    sorted_ = F.array_sort(F.collect_list(F.struct(order.alias("k"), cells.alias("m"))))
+    return F.flatten(F.transform(sorted_, lambda s: s["m"]))
 
 
 def roll_up(rows: DataFrame, keys: list[str], order: str = "id_dim", measure: str = "measure") -> DataFrame:
     """The arrays of a group's rows, in the order of ``order``, as one array (which a row must be able to hold)."""
-    cells = F.array_sort(F.collect_list(F.struct(F.col(order).alias("k"), F.col(measure).alias("m"))))
-    return rows.groupBy(*keys).agg(F.flatten(F.transform(cells, lambda s: s["m"])).alias(measure))
+    return rows.groupBy(*keys).agg(in_order(F.col(measure), F.col(order)).alias(measure))

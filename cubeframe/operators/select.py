@@ -9,8 +9,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KEY = "id_dim"
-#: Parts of the key range that are numbered apart; their counts are broadcast.
-RANGES = 65536
+#: Parts that a range of keys is cut into at once, and the rows of a part beyond which it is cut again.
+RANGES, MOST_ROWS = 65536, 1 << 20
+#: Rows that a limit takes by a partial sort, offset included.
+MOST_TAKEN = 1 << 16
 
 
 def aligned(*frames: DataFrame, key: str = KEY) -> DataFrame:
@@ -22,9 +24,16 @@ def aligned(*frames: DataFrame, key: str = KEY) -> DataFrame:
 
 
 def limited(rows: DataFrame, count: int, offset: int = 0, key: str | None = KEY) -> DataFrame:
-    """``count`` rows (0: all) from the ``offset``-th on, by the row key where there is one."""
+    """``count`` rows (0: all) from the ``offset``-th on, by the row key where there is one.
+
+    Up to ``MOST_TAKEN`` rows are taken by a partial sort; beyond it rows are numbered in parts, and none come to one task.
+    """
     if not count and not offset:
         return rows
+    if key in rows.columns and offset + count > MOST_TAKEN:
+        place = F.col("_cf_place")
+        numbered = renumbered(rows.withColumn("_cf_place", F.col(key)), 1, "_cf_place").where(place > offset)
+        return (numbered.where(place <= offset + count) if count else numbered).drop("_cf_place")
     rows = rows.orderBy(key) if key in rows.columns else rows
     rows = rows.offset(offset) if offset else rows
     return rows.limit(count) if count else rows
@@ -33,19 +42,30 @@ def limited(rows: DataFrame, count: int, offset: int = 0, key: str | None = KEY)
 def renumbered(rows: DataFrame, start: int, key: str = KEY) -> DataFrame:
     """Row keys become start, start + 1, ... in their order, without a pass through one task.
 
-    The keys' range is cut into ``RANGES`` equal parts, so a part holds at most its width of unique keys; each part's first number follows
-    from the counts of the parts before (a row per part).
+    The keys' range is cut into ``RANGES`` equal parts, and a part of more than ``MOST_ROWS`` rows again by its own range, until parts are
+    small (unique 64-bit keys need four cuts at most); each part's first number follows from the counts of the parts before (a row per part).
     """
     low, high = rows.agg(F.min(key), F.max(key)).first()
     if low is None:
         return rows
     width = -(-(high - low + 1) // RANGES)
-    parted = rows.withColumn("_cf_part", F.call_function("div", F.col(key) - low, F.lit(width)))
-    counts = parted.groupBy("_cf_part").agg(F.count(F.lit(1)).alias("_cf_n"))
-    before = Window.orderBy("_cf_part").rowsBetween(Window.unboundedPreceding, -1)
-    first = counts.withColumn("_cf_first", F.coalesce(F.sum("_cf_n").over(before), F.lit(0))).drop("_cf_n")
-    own = F.row_number().over(Window.partitionBy("_cf_part").orderBy(key))
-    return parted.join(F.broadcast(first), "_cf_part").withColumn(key, (F.col("_cf_first") + own - 1 + start).cast("long")).drop("_cf_part", "_cf_first")
+    parts = ["_cf_part0"]
+    parted = rows.withColumn("_cf_part0", F.call_function("div", F.col(key) - low, F.lit(width)))
+    while True:
+        counts = parted.groupBy(*parts).agg(F.count(F.lit(1)).alias("_cf_n"), F.min(key).alias("_cf_low"), F.max(key).alias("_cf_high"))
+        large = counts.where((F.col("_cf_n") > MOST_ROWS) & (F.col("_cf_high") > F.col("_cf_low")))
+        if len(parts) == 4 or not large.head(1):
+            break
+        width = F.call_function("div", F.col("_cf_high") - F.col("_cf_low"), F.lit(RANGES)) + 1
+        ranges = F.broadcast(large.select(*parts, "_cf_low", width.alias("_cf_width")))
+        name = f"_cf_part{len(parts)}"
+        cut = F.coalesce(F.call_function("div", F.col(key) - F.col("_cf_low"), F.col("_cf_width")), F.lit(0))
+        parted = parted.join(ranges, parts, "left").withColumn(name, cut).drop("_cf_low", "_cf_width")
+        parts.append(name)
+    before = Window.orderBy(*parts).rowsBetween(Window.unboundedPreceding, -1)
+    first = counts.withColumn("_cf_first", F.coalesce(F.sum("_cf_n").over(before), F.lit(0))).select(*parts, "_cf_first")
+    own = F.row_number().over(Window.partitionBy(*parts).orderBy(key))
+    return parted.join(F.broadcast(first), parts).withColumn(key, (F.col("_cf_first") + own - 1 + start).cast("long")).select(*rows.columns)
 
 
 def grouped(rows: DataFrame, by: Column, columns: dict[str, Column], simple: dict[str, Column], key: str = KEY, decimals: int | None = None) -> DataFrame:

@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators import aggregate as agg
 from ..operators import select as sel
 from ..sources import cube, generate
 from . import expression as ex
@@ -101,10 +100,10 @@ class Session:
     def execute(self, text: str, args: list[Any] | None = None) -> DataFrame | None:
         """Run a statement; a query's rows are returned and kept as ``result``."""
         q = la.statement(text)
-        run = getattr(self, "_" + q["operation"].lower(), None)
-        if run is None or q["operation"].startswith("_"):
+        name = q["operation"].lower()
+        if name not in STATEMENTS:
             raise SessionError(f"unknown operation {q['operation']!r}")
-        return run(q, list(args or []))
+        return STATEMENTS[name](self, q, list(args or []))
 
     def execute_many(self, text: str, runs: list[list[Any]]) -> None:
         """Run an insert once per list of arguments, and store the fragment after the last."""
@@ -250,42 +249,46 @@ class Session:
         return out.drop("_cf_key")
 
     def _grouped(self, q: dict, rows: DataFrame, lookup: Any, trees: list, names: list[str], args: list) -> DataFrame:
+        """One row per group, in no order but the one asked for: all aggregates over rows are taken in one pass over the exploded cells."""
         by = ex.compile_expression(q["group"], lookup, args) if q.get("group") else F.lit(1)
         rows = rows.withColumn("_group", by)
-        plain, simple, over = {}, {}, {}
+        plain, simple, over = {}, {}, []
         for i, tree in enumerate(trees):
             calls = ex.aggregates(tree)
+            over += [(f"_a{len(over) + n}", call) for n, call in enumerate(calls)]
             if not calls:
                 c = ex.build(tree, lookup, args)
                 (simple if tree[0] == "call" else plain)[f"_f{i}"] = c if isinstance(c, Column) else F.lit(c)
-            elif len(calls) == 1:
-                over[i] = calls[0]
-            else:
-                raise SessionError("a field holds one aggregate")
         out = sel.grouped(rows, F.col("_group"), plain, simple)
-        for i, call in over.items():
-            parts = [ex.build(a, lookup, args) for a in call[2]]
-            parts = [p for p in parts if not ex.registry.is_type(p)]
-            inner = rows.select("_group", F.col(sel.KEY), parts[0].alias("measure"))
-            kind = ex.registry.resolve(call[1]).name
-            if kind == "aggregate_operator":
-                cells = agg.aggregate_operator(inner, ["_group"], str(parts[1]) if len(parts) > 1 else "sum")
-            elif kind == "roll_up":
-                cells = agg.roll_up(inner, ["_group"])
+        cells, states, whole = {}, {}, {}
+        for name, call in over:
+            primitive = ex.registry.resolve(call[1])
+            parts = [p for p in (ex.build(a, lookup, args) for a in call[2]) if not ex.registry.is_type(p)]
+            if primitive.kind == "rows":
+                whole[name] = primitive.build(parts[0], F.col(sel.KEY), *parts[1:]).alias(name)
             else:
-                table = agg.stats_partial(inner, ["_group"]) if kind == "aggregate_stats_partial" else agg.aggregate_stats(inner, ["_group"])
-                value = F.struct(*[c for c in table.columns if c not in ("_group", "pos")])
-                cells = agg._rebuilt(table.select("_group", "pos", value.alias("v")), ["_group"])
-            cells = cells.withColumnRenamed("measure", f"_a{i}").withColumnRenamed("_group", "_g")
-            out = out.join(cells, out["_group"].eqNullSafe(cells["_g"]), "left").drop("_g")
+                cells[name], states[name] = parts[0], primitive.build(F.col(f"x.{name}"), *parts[1:])
+        tables = []
+        if whole:
+            tables.append(rows.groupBy("_group").agg(*whole.values()))
+        if cells:
+            zipped = F.arrays_zip(*[c.alias(n) for n, c in cells.items()])
+            long = rows.select("_group", F.posexplode(zipped).alias("pos", "x"), F.struct(*[F.size(c).alias(n) for n, c in cells.items()]).alias("n"))
+            # A cell shorter than the others of its row ends where it ends.
+            taken = long.groupBy("_group", "pos").agg(*[F.struct((F.max(f"n.{n}") > F.col("pos")).alias("there"), s.alias("v")).alias(n) for n, s in states.items()])
+            sorted_ = {n: F.array_sort(F.collect_list(F.when(F.col(f"{n}.there"), F.struct("pos", F.col(f"{n}.v").alias("v"))))) for n in states}
+            tables.append(taken.groupBy("_group").agg(*[F.transform(c, lambda s: s["v"]).alias(n) for n, c in sorted_.items()]))
+        for table in tables:
+            own = table.withColumnRenamed("_group", "_g")
+            out = out.join(own, out["_group"].eqNullSafe(own["_g"]), "left").drop("_g")
         columns = []
         for i, (tree, name) in enumerate(zip(trees, names, strict=True)):
-            if i in over:
-                marked = _with(tree, over[i], ("name", f"_a{i}"))
-                columns.append(ex.build(marked, lambda n: F.col(n), args).alias(name))
-            else:
+            if f"_f{i}" in plain or f"_f{i}" in simple:
                 columns.append(F.col(f"_f{i}").alias(name))
-        return out.orderBy("_first").select(*columns, F.col("_first").alias("_cf_key"))
+            else:
+                marked = _with(tree, {id(call): ("name", column) for column, call in over})
+                columns.append(ex.build(marked, lambda n: F.col(n), args).alias(name))
+        return out.select(*columns, F.col("_first").alias("_cf_key"))
 
     def _select(self, q: dict, args: list) -> DataFrame:
         self.result = self._query(q, args)
@@ -331,9 +334,12 @@ class Session:
             sizes = [t.agg(F.max(along)).first()[0] + 1 for t in tables]
             rows = cube.concatenated(tables, along, sizes)
         dims = [cube.Dim(names[i], ends[i] + 1, kinds[i] == 1, starts[i], ends[i]) for i in sorted(range(len(names)), key=order.__getitem__)]
+        kind = q.get("measure_type", "double").lower().rpartition("_")[2]
+        if kind not in generate.TYPES:
+            raise SessionError(f"unknown measure_type {kind!r}")
         if q.get("sub_operation"):
             return cube.reduced_at_source(rows, measure, dims, q["sub_operation"])
-        return cube.from_long(rows, measure, dims, row_start=int(q.get("row_start", 1)), nrows=int(q["nrows"]) if q.get("nrows") else None)
+        return cube.from_long(rows, measure, dims, row_start=int(q.get("row_start", 1)), nrows=int(q["nrows"]) if q.get("nrows") else None, kind=generate.TYPES[kind])
 
     def _file_import(self, q: dict, _: list) -> None:
         self.store(*self._need(q, "frag_name"), self._imported(q))
@@ -386,6 +392,15 @@ class Session:
         return self.result
 
 
+#: The statements of the language.
+STATEMENTS = {
+    "create_database": Session._create_database, "drop_database": Session._drop_database, "use_database": Session._use_database,
+    "create_frag": Session._create_frag, "drop_frag": Session._drop_frag, "insert": Session._insert, "multi_insert": Session._multi_insert,
+    "select": Session._select, "create_frag_select": Session._create_frag_select, "create_frag_select_file": Session._create_frag_select_file, "create_frag_select_esdm": Session._create_frag_select_esdm,
+    "file_import": Session._file_import, "esdm_import": Session._esdm_import, "random_import": Session._random_import, "function": Session._function,
+}
+
+
 def fragment_size(rows: DataFrame) -> DataFrame:
     """One row frag_size: 8 bytes per key and array, plus the elements (of 8 bytes, or of their type)."""
     width = {"tinyint": 1, "smallint": 2, "int": 4, "float": 4, "boolean": 1}
@@ -400,10 +415,10 @@ def fragment_size(rows: DataFrame) -> DataFrame:
     return rows.agg(F.coalesce(F.sum(cells), F.lit(0)).cast("long").alias("frag_size"))
 
 
-def _with(tree: Any, old: Any, new: Any) -> Any:
-    """The tree with a part replaced."""
-    if tree is old:
-        return new
+def _with(tree: Any, new: dict[int, Any]) -> Any:
+    """The tree with the parts of these identities replaced."""
+    if id(tree) in new:
+        return new[id(tree)]
     if isinstance(tree, tuple):
-        return tuple(_with(x, old, new) for x in tree)
-    return [_with(x, old, new) for x in tree] if isinstance(tree, list) else tree
+        return tuple(_with(x, new) for x in tree)
+    return [_with(x, new) for x in tree] if isinstance(tree, list) else tree

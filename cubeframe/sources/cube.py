@@ -46,7 +46,8 @@ def from_long(rows: DataFrame, value: str, dims: Sequence[Dim], fill: float | No
     """The fragment (id_dim, measure) of a long table with a column per dimension and a value per row.
 
     ``dims`` are in the target's nesting order, whatever their order in the table. Subsets become filters on the table, which reach its scan.
-    Places without a value get ``fill`` (null without it); rows without any value are absent. ``row_start`` and ``nrows`` take a range of row keys.
+    Places without a value get ``fill`` (null without it); rows without any value are absent; of several values of a place the largest counts. ``row_start`` and
+    ``nrows`` take a range of row keys.
     """
     check(dims)
     explicit, implicit = [d for d in dims if d.explicit], [d for d in dims if not d.explicit]
@@ -57,9 +58,17 @@ def from_long(rows: DataFrame, value: str, dims: Sequence[Dim], fill: float | No
     if row_start != 1 or nrows is not None:
         rows = rows.where((key >= row_start) & (key < row_start + nrows if nrows is not None else F.lit(True)))
     length = reduce(lambda a, d: a * d.count, implicit, 1)
-    cells = rows.select(key.cast("long").alias("id_dim"), _place(implicit).cast("int").alias("pos"), F.col(value).cast(kind).alias("v")).groupBy("id_dim").agg(F.map_from_entries(F.collect_list(F.struct("pos", "v"))).alias("cells"))
+    cells = rows.select(key.cast("long").alias("id_dim"), _place(implicit).cast("int").alias("pos"), F.col(value).cast(kind).alias("v")).groupBy("id_dim").agg(F.sort_array(F.collect_list(F.struct("pos", "v"))).alias("cells"))
     empty = F.lit(fill).cast(kind)
-    return cells.select("id_dim", F.transform(F.sequence(F.lit(0), F.lit(length - 1)), lambda p: F.coalesce(F.try_element_at("cells", p), empty)).alias("measure"))
+
+    def part(cell: Column, i: Column) -> Column:
+        """The empty places since the cell before, and the cell's value, unless the next cell is of the same place and so larger."""
+        before, after = F.get("cells", i - 1)["pos"], F.get("cells", i + 1)["pos"]
+        gap = F.array_repeat(empty, cell["pos"] - F.coalesce(before, F.lit(-1)) - 1)
+        return F.when(cell["pos"].eqNullSafe(after), gap).otherwise(F.concat(gap, F.array(F.coalesce(cell["v"], empty))))
+
+    tail = F.array_repeat(empty, F.lit(length - 1) - F.element_at("cells", -1)["pos"])
+    return cells.select("id_dim", F.concat(F.flatten(F.transform("cells", part)), tail).alias("measure"))
 
 
 def reduced_at_source(rows: DataFrame, value: str, dims: Sequence[Dim], operator: str = "avg") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.arrays import TYPES
+from ..functions.arrays import TYPES, running
 
 
 def _uniform(key: Column, place: Column, seed: int) -> Column:
@@ -27,14 +27,8 @@ def random_fragment(spark: SparkSession, nrows: int, array_len: int, measure_typ
     if algorithm == "default":
         values = F.transform(places, lambda p: _uniform(F.col("id_dim"), p, seed) * (127 if kind == "tinyint" else 1000))
     elif algorithm == "temperatures":
-        step = lambda p: _uniform(F.col("id_dim"), p, seed) * 40 - 5
-        start = F.struct(F.lit(0.0).alias("x"), F.array().cast("array<double>").alias("out"))
-
-        def turn(a: Column, p: Column) -> Column:
-            x = F.when(p == 1, step(p)).otherwise(a["x"] * 0.9 + step(p) * 0.1)
-            return F.struct(x.alias("x"), F.array_append(a["out"], x).alias("out"))
-
-        values = F.aggregate(places, start, turn, lambda a: a["out"])
+        steps = F.transform(places, lambda p: (_uniform(F.col("id_dim"), p, seed) * 40 - 5) * F.when(p == 1, 1.0).otherwise(0.1))
+        values = running(steps, 0.9)
     else:
         raise ValueError(f"unknown algorithm {algorithm!r}")
     if kind == "boolean":

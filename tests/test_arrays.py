@@ -64,6 +64,52 @@ def test_edges(spark):
     assert run(spark, arrays.normalize, [2.0, 2.0])[0] == [None, None]
 
 
+def test_empty_cells(spark):
+    for build in (lambda m: arrays.reduce2(m, "sum", 2, 3), lambda m: arrays.reduce3(m, "sum", [2, 1]), lambda m: arrays.sequence(3, 1, 0) if m is not None else m, arrays.normalize, lambda m: signal.convolve(m, [1.0])):
+        assert run(spark, build, [])[0] == []
+    for bad in (lambda m: arrays.get_subarray(m, 0, 2), lambda m: arrays.reduce3(m, "sum", [2, 0])):
+        with pytest.raises(ValueError):
+            run(spark, bad, [1.0])
+
+
+def test_large_means(spark):
+    far = [1e9 + i for i in range(5)]
+    assert np.allclose(run(spark, arrays.normalize, far)[0], (np.arange(5) - 2) / np.sqrt(2))
+    assert run(spark, arrays.normalize, [1.0, None, 3.0])[0] == [-1.0, None, 1.0]
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 8, 9, 10, 50, 1000])
+def test_running_sums_of_any_length(spark, n):
+    cell = [float((i * 37) % 11 - 5) for i in range(n)]
+    assert np.allclose(run(spark, arrays.accumulate, cell)[0], np.cumsum(cell))
+    decayed, y = [], 0.0
+    for x in cell:
+        y = 0.9 * y + x
+        decayed.append(y)
+    assert np.allclose(run(spark, lambda m: arrays.running(m, 0.9), cell)[0], decayed)
+
+
+def test_long_cells_take_time_in_proportion(spark):
+    import time
+
+    start = time.perf_counter()
+    long = spark.range(10).select(arrays.accumulate(F.transform(F.sequence(F.lit(1), F.lit(16_000)), lambda x: x.cast("double"))).alias("m"))
+    assert [r[0] for r in long.select(F.element_at("m", -1)).collect()] == [16_000 * 16_001 / 2] * 10
+    assert time.perf_counter() - start < 20
+
+
+def test_spline_is_the_dense_solution(spark):
+    y = np.array(SOME)
+    n = len(y)
+    second = np.zeros(n)
+    second[1:-1] = np.linalg.solve(4 * np.eye(n - 2) + np.eye(n - 2, k=1) + np.eye(n - 2, k=-1), 6 * (y[2:] - 2 * y[1:-1] + y[:-2]))
+    at = np.linspace(0, n - 1, 31)
+    low = np.minimum(at.astype(int), n - 2)
+    b = at - low
+    wanted = (1 - b) * y[low] + b * y[low + 1] + (((1 - b) ** 3 - (1 - b)) * second[low] + (b**3 - b) * second[low + 1]) / 6
+    assert np.allclose(run(spark, lambda m: signal.spline(m, 31), SOME)[0], wanted)
+
+
 @settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.integers(-1000, 1000).map(float), min_size=1, max_size=12))
 def test_laws(spark, cell):

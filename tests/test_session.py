@@ -70,9 +70,57 @@ def test_limit_comes_first(session):
     assert session.execute("operation=select;field=id_dim;from=c;limit=100|5").count() == 0
 
 
+def test_a_large_limit_numbers_the_rows(monkeypatch, session):
+    q = "operation=select;field=id_dim;from=c;limit={}"
+    monkeypatch.setattr(select, "MOST_TAKEN", 4)
+    assert sorted(r[0] for r in session.execute(q.format("3|6")).collect()) == [4, 5, 6, 7, 8, 9]
+    assert sorted(r[0] for r in session.execute(q.format("17|0")).collect()) == [18, 19, 20]
+    assert session.execute(q.format("100|5")).count() == 0
+
+
 def test_groups(session):
     got = session.execute("operation=select;field=id(id_dim,5)|aggregate_operator(measure,'MAX')|id_dim;select_alias=g|m|first;from=c;group=id(id_dim,5)").collect()
-    assert [(r["first"], r["m"][0]) for r in got] == [(1, 40.0), (6, 140.0), (11, 240.0), (16, 340.0)]
+    assert sorted((r["first"], r["m"][0]) for r in got) == [(1, 40.0), (6, 140.0), (11, 240.0), (16, 340.0)]
+
+
+def test_several_aggregates_in_one_pass(session):
+    q = "operation=select;field=id(id_dim,5)|sub_array(aggregate_operator(measure,'MAX'),aggregate_operator(measure,'MIN'))|aggregate_operator(get_subarray(measure,1,2),'count')|size_array(roll_up(measure))|aggregate_stats(measure);select_alias=g|spread|n|all|stats;from=c;group=id(id_dim,5);order=g"
+    got = session.execute(q).collect()
+    assert [r["g"] for r in got] == [1, 2, 3, 4] and all(r["spread"] == [40.0] * TIME and r["n"] == [5.0, 5.0] and r["all"] == 5 * TIME for r in got)
+    assert got[1]["stats"][0].asDict() == {"count": 5, "sum": 600.0, "avg": 120.0, "std": pytest.approx(np.std([100, 110, 120, 130, 140], ddof=1)), "min": 100.0, "max": 140.0}
+    assert session.execute("operation=select;field=aggregate_operator(measure,'SUM');select_alias=m;from=c").first()["m"][0] == sum(100.0 * a + 10 * o for a in range(LAT) for o in range(LON))
+
+
+def test_a_registered_aggregate(session):
+    from cubeframe.functions import registry
+
+    registry.register("span_of_rows", lambda x: F.max(x) - F.min(x), 1, kind="aggregate")
+    try:
+        got = session.execute("operation=select;field=lib_span_of_rows(measure);select_alias=m;from=c;group=id(id_dim,5)").collect()
+        assert [r["m"] for r in got] == [[40.0] * TIME] * 4
+        with pytest.raises(ValueError):
+            session.execute("operation=select;field=id_dim;from=c;where=span_of_rows(measure)")
+    finally:
+        del registry.REGISTRY["span_of_rows"]
+
+
+def test_joins_of_three_and_of_none(session):
+    session.execute("operation=create_frag_select;frag_name=low;field=id_dim|measure;select_alias=id_dim|measure;from=c;where=id_dim < 8")
+    session.execute("operation=create_frag_select;frag_name=high;field=id_dim|measure;select_alias=id_dim|measure;from=c;where=id_dim > 5")
+    q = "operation=select;field=a.id_dim|sum_array(a.measure,b.measure,c.measure);select_alias=id_dim|m;from=low|c|high;from_alias=a|b|c;where={}"
+    assert sorted((r["id_dim"], r["m"][0]) for r in session.execute(q.format("a.id_dim > 0")).collect()) == [(6, 300.0), (7, 330.0)]
+    assert session.execute(q.format("a.id_dim > 7")).count() == 0
+
+
+@pytest.mark.parametrize("name", ["need", "schema", "files", "rows", "_select", "place"])
+def test_only_statements_run(session, name):
+    with pytest.raises(SessionError, match="unknown operation"):
+        session.execute(f"operation={name};frag_name=c")
+
+
+def test_import_as_a_type(session):
+    session.execute("operation=file_import;frag_name=t;src_path=grid;measure=v;measure_type=int;dim_type=1|1|0;dim_index=0|1|2;dim_start=0|0|0;dim_end=3|4|23")
+    assert dict(session.fragment("t").dtypes)["measure"] == "array<int>"
 
 
 def test_import_concat_and_reduce(session):
@@ -131,6 +179,36 @@ def test_stats_of_parts(spark, long):
     assert aggregate.roll_up(rows, ["g"]).select(F.size("measure")).first()[0] == LAT * LON * TIME
 
 
+def test_stats_far_from_zero(spark):
+    rows = spark.createDataFrame([(1, [1e9 + i]) for i in range(5)] + [(2, [7.0])], "g int, measure array<double>")
+    half = [aggregate.stats_partial(rows.where(f"cast(measure[0] as long) % 2 = {k}"), ["g"]) for k in (0, 1)]
+    for table in (aggregate.aggregate_stats(rows, ["g"]), aggregate.stats_final(half[0].unionByName(half[1]), ["g"])):
+        assert {r["g"]: r["std"] for r in table.collect()} == {1: pytest.approx(np.sqrt(2.5)), 2: None}
+
+
+def test_several_values_of_a_place(spark):
+    rows = spark.createDataFrame([(0, 1, 2.0), (0, 1, 5.0), (0, 1, None), (0, 3, 1.0), (1, 0, None), (2, 4, 9.0)], "x int, t int, v double")
+    dims = [cube.Dim("x", 3, True), cube.Dim("t", 5, False)]
+    got = [r["measure"] for r in cube.from_long(rows, "v", dims, fill=0.0).orderBy("id_dim").collect()]
+    assert got == [[0.0, 5.0, 0.0, 1.0, 0.0], [0.0] * 5, [0.0, 0.0, 0.0, 0.0, 9.0]]
+
+
+def test_many_places_take_time_in_proportion(spark):
+    import time
+
+    start = time.perf_counter()
+    long = spark.range(20 * 4000).select((F.col("id") % 20).cast("int").alias("x"), F.expr("cast(id div 20 as int)").alias("t"), F.col("id").cast("double").alias("v"))
+    rows = cube.from_long(long, "v", [cube.Dim("x", 20, True), cube.Dim("t", 4000, False)])
+    assert {r[0] for r in rows.select(F.size("measure")).collect()} == {4000} and time.perf_counter() - start < 15
+
+
+def test_numbers_of_uneven_keys(monkeypatch, spark):
+    monkeypatch.setattr(select, "MOST_ROWS", 10)
+    keys = spark.range(1, 500).unionByName(spark.createDataFrame([(10**18,)], "id long")).withColumnRenamed("id", "id_dim").withColumn("k", F.col("id_dim"))
+    got = select.renumbered(keys, 1).orderBy("k").collect()
+    assert [r["id_dim"] for r in got] == list(range(1, 501)) and got[0].asDict().keys() == {"id_dim", "k"}
+
+
 def test_extras(spark):
     left = spark.createDataFrame([(1, 5), (1, 9), (2, 1)], "k int, t int")
     right = spark.createDataFrame([(1, 4, 1.0), (1, 9, 2.0)], "k int, t int, v double")
