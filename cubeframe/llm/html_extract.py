@@ -5,12 +5,15 @@ ancestors' tags and the words of their class, id and role, and of its text the l
 cue words. The field has the labels main text and other; it is trained on labelled pages (``labelled_pages`` writes such pages in many layouts;
 other labelled blocks can be given) by Adam on the exact likelihood, and decoded by Viterbi. The weights, a number per feature, are broadcast.
 
-Scripts, styles, titles, form controls, templates and comments are never text. Character references are decoded, white space inside a
-block is one space, and the main blocks are joined in page order by one space.
+Scripts, styles, titles, form controls, templates, graphics, what players show in their stead, and comments are never text; formulas are. Character
+references are decoded, white space inside a block is one space, and the main blocks are joined in page order by one space.
 
 Defined cases: a null or empty page, or one without main blocks, has the text ''. Unclosed elements end where HTML ends them (a paragraph at
-the next block, an item at the next item) or with their parent; unmatched end tags are ignored; a '<' that starts no tag is text. Rows that repeat are
-extracted each; an empty table gives an empty result. Pages are taken whole, whatever their length.
+the next block, an item at the next item) or with their parent; only elements of raw text (``RAW``) that are not closed take the page's rest. Unmatched
+end tags are ignored; a '<' that starts no tag is text; a quote that is closed nowhere ends with its tag; a tag that is not closed takes the page's
+rest, as in HTML. Rows that repeat are extracted each; other columns are not read, whatever their names; an empty table gives an empty result. Pages are
+taken whole, whatever their length: the scanner goes forward only, and what is known of the open elements is kept with them, so work
+grows with the length also for unclosed tags and deep nesting.
 """
 
 from __future__ import annotations
@@ -34,13 +37,15 @@ BLOCKS = frozenset(
     "address article aside blockquote body caption center col colgroup dd details dialog dir div dl dt fieldset figcaption figure footer form frameset"
     " h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
-#: Elements without content, and elements whose content is not text of the page (fixed values of HTML).
+#: Elements without content; whose content is raw text that is not the page's; whose content is not shown, or is a control's (fixed values of HTML).
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("script style title textarea select button template noscript iframe object svg math canvas audio video datalist".split())
+RAW = frozenset("script style title textarea iframe noembed noframes xmp".split())
+HIDDEN = frozenset("select button template object svg canvas audio video datalist".split())
 #: Start tags that end an open element of these names, up to the nearest of the bounds (fixed values of HTML).
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 
-_TOKEN = re.compile(r"<!--(?s:.*?)(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>")
+_NAME = re.compile(r"[^\s/>]+")
+_TAG_STOP = re.compile(r">|=\s*([\"'])")
 _NAMED = re.compile(r"(?:\s|^)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 _WORD = re.compile(r"[a-z]{2,}")
 #: Words that tell blocks around an article (fixed values); other words are no features.
@@ -48,80 +53,137 @@ CUES = frozenset("advertisement sponsored cookie cookies privacy subscribe newsl
 
 
 class Block:
-    __slots__ = ("linked", "names", "parts", "tags")
+    __slots__ = ("inner", "linked", "names", "parts", "tags")
 
-    def __init__(self, tags: tuple[str, ...], names: frozenset[str]):
-        self.tags, self.names, self.parts, self.linked = tags, names, [], 0
+    def __init__(self, tags: frozenset[str], inner: str, names: frozenset[str]):
+        #: The block-level elements around the text, the innermost of them, and the names of all elements around it.
+        self.tags, self.inner, self.names, self.parts, self.linked = tags, inner, names, [], 0
 
     def text(self) -> str:
         return " ".join(unescape("".join(self.parts)).split())
 
 
-def blocks(html: str) -> list[tuple[Block, str]]:
-    """Each leaf block that has text, and its text."""
+class _Open:
+    """The open elements: where each name is open, and of each element what holds for the text in it."""
+
+    def __init__(self) -> None:
+        self.names: list[str] = []
+        self.around: list[tuple[frozenset[str], str, frozenset[str]]] = [(frozenset(), "-", frozenset())]
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+        self.links = self.hidden = 0
+
+    def last(self, names: frozenset[str] | set[str]) -> int:
+        """The place of the innermost open element of these names, -1 without one."""
+        return max([self.places[n][-1] for n in names if self.places.get(n)], default=-1)
+
+    def push(self, name: str, named: frozenset[str]) -> None:
+        tags, inner, names = self.around[-1]
+        if name in BLOCKS:
+            self.blocks.append(len(self.names))
+            if name not in ("html", "body"):
+                tags, inner = tags if name in tags else tags | {name}, name
+        self.places.setdefault(name, []).append(len(self.names))
+        self.names.append(name)
+        self.around.append((tags, inner, names if named <= names else names | named))
+        self.links += name == "a"
+        self.hidden += name in HIDDEN
+
+    def close(self, place: int) -> None:
+        """End the elements from the place on."""
+        while len(self.names) > place:
+            name = self.names.pop()
+            self.around.pop()
+            self.places[name].pop()
+            if name in BLOCKS:
+                self.blocks.pop()
+            self.links -= name == "a"
+            self.hidden -= name in HIDDEN
+
+
+def _tag_end(html: str, at: int, unclosed: set[str]) -> int:
+    """Where a tag whose attributes start at ``at`` ends, the length of the page if it is not closed."""
+    while True:
+        stop = _TAG_STOP.search(html, at)
+        if stop is None:
+            return len(html)
+        quote = stop[1]
+        if quote is None:
+            return stop.start()
+        close = -1 if quote in unclosed else html.find(quote, stop.end())
+        if close < 0:
+            # No such quote in the rest of the page, and so never again.
+            unclosed.add(quote)
+            end = html.find(">", stop.end())
+            return len(html) if end < 0 else end
+        at = close + 1
+
+
+def blocks(html: str, known: frozenset[str] | None = None) -> list[tuple[Block, str]]:
+    """Each leaf block that has text, and its text; of the elements' names those ``known`` (all without it)."""
     found: list[Block] = []
-    stack: list[tuple[str, frozenset[str]]] = []
+    open_, unclosed = _Open(), set()
     now: Block | None = None
-    links = at = 0
+    at, size = 0, len(html)
 
     def add(raw: str) -> None:
         nonlocal now
-        if raw:
+        if raw and not open_.hidden:
             if now is None:
-                now = Block(tuple(t for t, _ in stack), frozenset().union(*[n for _, n in stack]) if stack else frozenset())
+                now = Block(*open_.around[-1])
                 found.append(now)
             now.parts.append(raw)
-            if links:
+            if open_.links:
                 now.linked += len(raw)
 
-    def close(index: int) -> None:
-        nonlocal links
-        links -= sum(t == "a" for t, _ in stack[index:])
-        del stack[index:]
-
-    while True:
-        token = _TOKEN.search(html, at)
-        add(html[at : token.start()] if token else html[at:])
-        if token is None:
+    while at < size:
+        start = html.find("<", at)
+        if start < 0:
+            add(html[at:])
             break
-        at = token.end()
-        tag = (token[2] or "").lower()
-        if not tag:
+        add(html[at:start])
+        sign = html[start + 1 : start + 2]
+        ends = sign == "/"
+        first = html[start + 2 : start + 3] if ends else sign
+        if not (first.isascii() and first.isalpha()):
+            if html.startswith("<!--", start):
+                end = html.find("-->", start + 4)
+                at = size if end < 0 else end + 3
+            elif sign and sign in "!?/":
+                end = html.find(">", start + 2)
+                at = size if end < 0 else end + 1
+            else:
+                add("<")
+                at = start + 1
             continue
+        name = _NAME.match(html, start + 1 + ends)
+        end = _tag_end(html, name.end(), unclosed)
+        at, tag, attributes = end + 1, name[0].lower(), html[name.end() : end]
         if tag in BLOCKS:
             now = None
         elif tag == "br":
             add(" ")
-        if token[1]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    close(i)
-                    break
+        if ends:
+            if open_.places.get(tag):
+                open_.close(open_.places[tag][-1])
             continue
-        if tag in HIDDEN:
-            if not token[3].rstrip().endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}\s*>", re.IGNORECASE).search(html, at)
-                at = end.end() if end else len(html)
+        if tag in RAW:
+            if not attributes.endswith("/"):
+                close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.IGNORECASE).search(html, at)
+                end = html.find(">", close.end()) if close else -1
+                at = size if end < 0 else end + 1
             continue
-        if tag in BLOCKS:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == "p":
-                    close(i)
-                    break
-                if stack[i][0] in BLOCKS:
-                    break
+        if tag in BLOCKS and not open_.hidden and open_.blocks and open_.names[open_.blocks[-1]] == "p":
+            open_.close(open_.blocks[-1])
         if tag in ENDS:
             own, bounds = ENDS[tag]
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in bounds:
-                    break
-                if stack[i][0] in own:
-                    close(i)
-                    break
-        if tag not in VOID:
-            named = " ".join(x for m in _NAMED.findall(token[3]) for x in m) if token[3] else ""
-            stack.append((tag, frozenset(_WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", named).lower())) if named else frozenset()))
-            links += tag == "a"
+            place = open_.last(own)
+            if place > open_.last(bounds):
+                open_.close(place)
+        if tag not in VOID and not (tag in HIDDEN and attributes.endswith("/")):
+            named = " ".join(x for m in _NAMED.findall(attributes) for x in m) if attributes else ""
+            names = frozenset(_WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", named).lower())) if named else frozenset()
+            open_.push(tag, names if known is None else names & known)
     out = []
     for block in found:
         text = block.text()
@@ -133,9 +195,8 @@ def blocks(html: str) -> list[tuple[Block, str]]:
 def features(block: Block, text: str) -> list[str]:
     n = text.count(" ") + 1
     share = min(1.0, block.linked / max(1, len(text)))
-    structure = [t for t in block.tags if t in BLOCKS and t not in ("html", "body")]
-    own = [f"tag {t}" for t in set(structure)] + [f"name {x}" for x in block.names]
-    own += [f"in {structure[-1] if structure else '-'}", f"words {min(6, n.bit_length())}", f"links {0 if share == 0 else 1 if share < 0.5 else 2}"]
+    own = [f"tag {t}" for t in block.tags] + [f"name {x}" for x in block.names]
+    own += [f"in {block.inner}", f"words {min(6, n.bit_length())}", f"links {0 if share == 0 else 1 if share < 0.5 else 2}"]
     own.append("ends" if text[-1] in ".!?\"'»”…:;" else "open")
     if n <= 40:
         own += [f"cue {w}" for w in CUES.intersection(_WORD.findall(text.lower()))]
@@ -149,6 +210,8 @@ class Field:
 
     def __init__(self, weights: dict[str, float], steps: list[list[float]], start: float):
         self.weights, self.steps, self.start = weights, steps, start
+        #: The names of elements that have a weight.
+        self.names = frozenset(f.removeprefix("name ") for f in weights if f.startswith("name "))
 
     def decode(self, features: list[list[str]]) -> list[bool]:
         """The likeliest labels (Viterbi); of equals, other."""
@@ -325,7 +388,7 @@ def standard_field() -> Field:
 
 
 def main_text(html: str | None, field: Field) -> str:
-    found = blocks(html or "")
+    found = blocks(html or "", field.names)
     return " ".join(text for (_, text), keep in zip(found, field.decode([features(*own) for own in found]), strict=True) if keep)
 
 

@@ -53,6 +53,62 @@ def test_viterbi_is_the_best_of_all():
         assert score(tuple(map(int, f.decode(page)))) == pytest.approx(score(best))
 
 
+@pytest.mark.parametrize(("html", "wanted"), [
+    ("<article><p>The identity <math>a+b</math> holds for all of them.</p></article>", "The identity a+b holds for all of them."),
+    ("<article><p>Before it <select><option>one<option>two stands the text.</p><p>After it the text goes on.</p></article>", "Before it After it the text goes on."),
+    ("<article><p>Before it <button>Share</button>stands the text, <svg/>and here.</p><object>old<p>player</object><p>After it the text goes on.</p></article>", "Before it stands the text, and here. After it the text goes on."),
+    ('<article><p title="it is>One long sentence stands here for all.</p><p>And another one, too.</p></article>', "One long sentence stands here for all. And another one, too."),
+    ("<article><p>Text that stands here, 1 < 2 and <3.</p></foo></div><p>And more of it.</p><script>var x = '<p>';", "Text that stands here, 1 < 2 and <3. And more of it."),
+    ("<article><p data-x='a > b' title = \"c > d\">Quoted signs end no tag.</p></article><!-- > -->", "Quoted signs end no tag."),
+    ("<article><ul><li>One item of the list.<li>Two items of the list.</ul><p>The end of it<br>is here.</article>", "One item of the list. Two items of the list. The end of it is here."),
+])
+def test_extract_broken_pages(field, html, wanted):
+    assert html_extract.main_text(html, field) == wanted
+
+
+@pytest.mark.parametrize("html", ["<a " * 350_000, "<div>" * 100_000 + "x", "<div>x" * 100_000, "<div>" * 50_000 + "<li>a</li>" * 50_000, "<i>" * 50_000 + "t<hr>" * 50_000, "<div>" * 50_000 + "</foo>" * 100_000, "<a b='" * 150_000, "<!-- " * 200_000, "<a " + "= " * 300_000])
+def test_extract_in_linear_time(field, html):
+    import time
+
+    start = time.perf_counter()
+    html_extract.main_text(html, field)
+    assert time.perf_counter() - start < 10
+
+
+def test_blocks_by_a_plain_walk():
+    """The scanner against the standard library's parser, on pages without broken markup."""
+    from html.parser import HTMLParser
+
+    class Walk(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.out, self.skip = [[]], 0
+
+        def handle_starttag(self, tag, attrs):
+            self.skip += tag in html_extract.RAW
+            if tag in html_extract.BLOCKS:
+                self.out.append([])
+            elif tag == "br":
+                self.out[-1].append(" ")
+
+        def handle_endtag(self, tag):
+            self.skip -= tag in html_extract.RAW
+            if tag in html_extract.BLOCKS:
+                self.out.append([])
+
+        def handle_data(self, data):
+            if not self.skip:
+                self.out[-1].append(data)
+
+    import pyarrow.parquet as pq
+
+    for page in pq.read_table("/root/testdata/sf0.01/pages.parquet")["html"].to_pylist():
+        walk = Walk()
+        walk.feed(page)
+        walk.close()
+        assert [t for _, t in html_extract.blocks(page)] == [t for t in (" ".join("".join(b).split()) for b in walk.out) if t]
+
+
 def test_extract_table(spark, field):
     rows = [(1, "u", "<article><p>A text that is here, for all to read.</p></article>", "x"), (2, None, None, "y"), (2, None, None, "y"), (None, "u", "plain < 3 text", "z")]
     got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string"), field).collect()
