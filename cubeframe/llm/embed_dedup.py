@@ -3,11 +3,12 @@
 Vectors are compared within a label. Equal vectors of a label form classes first; one of each class goes on. The
 representatives of a label are dealt to shards of about ``SHARD_ROWS`` by hash, so a label of any size is spread over many tasks; each
 shard's hierarchical graph is built once and stored as a row. Then every shard's vectors search every shard of their label (a block of queries against a graph,
-each pair of shards once). In a block
+each pair of shards once; ``GROUP`` shards meet ``GROUP`` others in a task, so a shard is sent once per group, not once per shard). In a block
 
-* the beam starts at ``BEAM`` and doubles until an audit passes: of a sample of the block's queries (``AUDIT`` at most) a brute-force comparison
-  finds all links, and the beam must have found ``RECALL`` of them. A query whose whole beam is at or above the threshold may have more links
-  than the beam holds and is compared with the whole shard, so no number of partners is a cap;
+* the beam starts at ``BEAM`` and doubles until an audit passes. The audit always has links to find: for ``PROBES`` vectors of the graph, a vector at
+  the threshold's cosine from it, in a random direction; and for ``AUDIT`` of the block's queries all links that a brute-force comparison finds. The beam must
+  find ``RECALL`` of either. A query whose whole beam is at or above the threshold may have more links than the beam holds and is compared with
+  the whole shard, so no number of partners is a cap;
 * candidates from 32-bit arithmetic are verified by their cosine in double precision;
 * links are reduced to what the result needs: the number of links of each vector, and a spanning forest of the block's links.
 
@@ -15,7 +16,8 @@ The forests of all blocks are united by large-star and small-star.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components, and vectors with a null label, link with nothing;
 vectors of other lengths than the most of their block are compared only with their like; vectors that repeat are links of each other; rows
-that repeat an id are reported once each; an empty table gives an empty result.
+that repeat an id are reported once each; vectors of any length are taken whole; other columns are not read, whatever their names; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -34,7 +36,9 @@ from .exact_dedup import equal_classes
 
 SHARD_ROWS = 8192
 DEGREE, BUILD_BEAM, BEAM = 12, 48, 32
-AUDIT, RECALL = 64, 0.99
+PROBES, AUDIT, RECALL = 256, 64, 0.99
+#: Shards that are in memory together on either side of a task.
+GROUP = 4
 BATCH = 512
 #: How far below the threshold 32-bit candidates are still verified.
 SLACK = 1e-4
@@ -186,26 +190,51 @@ class Graph:
         return cls(x, out, entry)
 
 
-def block_links(graph: Graph, queries: np.ndarray, least: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate pairs (query, vector of the graph) with a 32-bit cosine of about ``least`` or more, by beams that pass the audit."""
-    floor = least - SLACK
+def probes(x: np.ndarray, least: float, seed: int = 17) -> tuple[np.ndarray, np.ndarray]:
+    """The places of some vectors, and for each a unit vector at the cosine ``least`` from it."""
+    random = np.random.Generator(np.random.PCG64(seed))
+    at = np.sort(random.permutation(len(x))[:PROBES])
+    own = x[at].astype(np.float64)
+    aside = random.normal(size=own.shape)
+    aside -= (aside * own).sum(axis=1, keepdims=True) * own
+    norm = np.linalg.norm(aside, axis=1, keepdims=True)
+    aside = np.divide(aside, norm, out=np.zeros_like(aside), where=norm > 1e-9)
+    near = least * own + np.sqrt(max(0.0, 1 - least * least)) * aside
+    return at, (near / np.linalg.norm(near, axis=1, keepdims=True)).astype(np.float32)
+
+
+def audited_beam(graph: Graph, queries: np.ndarray, floor: float, same: bool) -> tuple[int, float]:
+    """The beam that passes the audit (all vectors of the graph if none does), and the recall that it had."""
     n = len(graph.x)
-    step = max(1, len(queries) // AUDIT)
-    audit = np.arange(0, len(queries), step)[:AUDIT]
-    truth = queries[audit] @ graph.x.T >= floor
+    sample = np.arange(0, len(queries), max(1, len(queries) // AUDIT))[:AUDIT]
+    truth = queries[sample] @ graph.x.T >= floor
     if same:
-        truth[np.arange(len(audit)), audit] = False
-    wanted, beam = int(truth.sum()), min(BEAM, n)
-    while wanted and beam < n:
-        ids, sims = graph.near(queries[audit], beam)
+        truth[np.arange(len(sample)), sample] = False
+    at, planted = probes(graph.x, floor)
+    beam = min(BEAM, n)
+    while beam < n:
+        ids, sims = graph.near(queries[sample], beam)
         hit = (ids >= 0) & (sims >= floor)
         found = np.zeros_like(truth)
         r, c = np.nonzero(hit)
         found[r, ids[r, c]] = True
         full = hit.all(axis=1)
-        if int((found & truth)[~full].sum()) >= RECALL * int(truth[~full].sum()):
-            break
+        wanted = int(truth[~full].sum())
+        recall = int((found & truth)[~full].sum()) / wanted if wanted else 1.0
+        # A probe whose whole beam is above the threshold would be compared with all.
+        ids, sims = graph.near(planted, beam)
+        reached = (ids == at[:, None]).any(axis=1) | (sims >= floor).all(axis=1)
+        recall = min(recall, float(reached.mean()))
+        if recall >= RECALL:
+            return beam, recall
         beam = min(n, beam * 2)
+    return n, 1.0
+
+
+def block_links(graph: Graph, queries: np.ndarray, least: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Candidate pairs (query, vector of the graph) with a 32-bit cosine of about ``least`` or more, by beams that pass the audit."""
+    floor, n = least - SLACK, len(graph.x)
+    beam, _ = audited_beam(graph, queries, floor, same)
     left, right = [], []
     for start in range(0, len(queries), BATCH):
         own = np.arange(start, min(start + BATCH, len(queries)))
@@ -261,32 +290,40 @@ def _index():
     return work, "label string, shard int, rows long, ids binary, sizes binary, exact binary, graph binary"
 
 
+def _pair(own: dict, far: dict, least: float, same: bool) -> list[tuple]:
+    """The rows of one pair of shards: (vector, null, gain in links) and (vector, vector, 0) for the links of a spanning forest."""
+    ids, weight = np.frombuffer(own["ids"], np.int64), np.frombuffer(own["sizes"], np.int64)
+    unit = np.frombuffer(own["exact"], np.float64).reshape(len(ids), -1)
+    far_ids, far_weight = np.frombuffer(far["ids"], np.int64), np.frombuffer(far["sizes"], np.int64)
+    far_unit = np.frombuffer(far["exact"], np.float64).reshape(len(far_ids), -1)
+    q, v = block_links(Graph.unpack(own["graph"]), far_unit.astype(np.float32), least, same)
+    if same:
+        pairs = np.unique(np.stack([np.minimum(q, v), np.maximum(q, v)], axis=1)[q != v], axis=0)
+        q, v = pairs[:, 0], pairs[:, 1]
+    ok = np.concatenate([np.einsum("kd,kd->k", far_unit[q[s : s + 65536]], unit[v[s : s + 65536]]) >= least for s in range(0, len(q), 65536)] or [np.zeros(0, bool)])
+    q, v = q[ok], v[ok]
+    counts: dict[int, int] = {}
+    for nodes, gains in ((far_ids[q], weight[v]), (ids[v], far_weight[q])):
+        at, place = np.unique(nodes, return_inverse=True)
+        for node, gain in zip(at.tolist(), np.bincount(place, gains, len(at)).astype(np.int64).tolist(), strict=True):
+            counts[node] = counts.get(node, 0) + gain
+    return [(n, None, k) for n, k in counts.items()] + [(a, b, 0) for a, b in _forest(far_ids[q], ids[v])]
+
+
 def _compare(least: float):
+    """Of two groups of shards all pairs, of a group with itself each pair once."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("links", pa.int64())])
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                ids, sizes, exact, graph, other_ids, other_sizes, other_exact = (batch.column(c)[i].as_py() for c in range(7))
-                same = other_ids is None
-                own, weight = np.frombuffer(ids, np.int64), np.frombuffer(sizes, np.int64)
-                unit = np.frombuffer(exact, np.float64).reshape(len(own), -1)
-                far, far_weight = (own, weight) if same else (np.frombuffer(other_ids, np.int64), np.frombuffer(other_sizes, np.int64))
-                far_unit = unit if same else np.frombuffer(other_exact, np.float64).reshape(len(far), -1)
-                q, v = block_links(Graph.unpack(graph), far_unit.astype(np.float32), least, same)
-                if same:
-                    pairs = np.unique(np.stack([np.minimum(q, v), np.maximum(q, v)], axis=1)[q != v], axis=0)
-                    q, v = pairs[:, 0], pairs[:, 1]
-                ok = np.concatenate([np.einsum("kd,kd->k", far_unit[q[s : s + 65536]], unit[v[s : s + 65536]]) >= least for s in range(0, len(q), 65536)] or [np.zeros(0, bool)])
-                q, v = q[ok], v[ok]
-                counts: dict[int, int] = {}
-                for nodes, gains in ((far[q], weight[v]), (own[v], far_weight[q])):
-                    at, place = np.unique(nodes, return_inverse=True)
-                    for node, gain in zip(at.tolist(), np.bincount(place, gains, len(at)).astype(np.int64).tolist(), strict=True):
-                        counts[node] = counts.get(node, 0) + gain
-                edges = list(_forest(far[q], own[v]))
-                rows = [(n, None, k) for n, k in counts.items()] + [(a, b, 0) for a, b in edges]
-                yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 3, schema=schema)
+    def work(table: pa.Table) -> pa.Table:
+        shards = sorted(table.to_pylist(), key=lambda r: r["shard"])
+        g, h = table.column("g")[0].as_py(), table.column("h")[0].as_py()
+        rows: list[tuple] = []
+        for one in (r for r in shards if r["shard"] // GROUP == g):
+            for two in (r for r in shards if r["shard"] // GROUP == h):
+                if one["shard"] <= two["shard"]:
+                    rows += _pair(one, two, least, one["shard"] == two["shard"])
+        _text.release()
+        return pa.table([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 3, schema=schema)
 
     return work, "a long, b long, links long"
 
@@ -311,16 +348,13 @@ def embedding_dedup(vectors: DataFrame, least: float = 0.98, shard_rows: int = S
     dealt = points.join(per_label, "label").withColumn("shard", F.pmod(F.xxhash64("id"), F.col("shards")).cast("int"))
     work, types = _index()
     index = materialize(dealt.select("id", "label", "vector", "size", "shard").groupBy("label", "shard").applyInArrow(work, types), "index")
-    graphs = index.select("label", F.col("shard").alias("i"), "ids", "sizes", "exact", "graph")
-    other = index.select("label", F.col("shard").alias("j"), F.col("ids").alias("other_ids"), F.col("sizes").alias("other_sizes"), F.col("exact").alias("other_exact"))
-    none = F.lit(None).cast("binary")
-    blocks = graphs.select("ids", "sizes", "exact", "graph", none.alias("other_ids"), none.alias("other_sizes"), none.alias("other_exact"))
-    shards = index.count()
-    if index.where("shard > 0").head(1):
-        crossed = graphs.join(other, "label").where("i < j").drop("label", "i", "j")
-        blocks = blocks.unionByName(crossed)
+    # A shard goes to every pair of groups that its own is in.
+    groups = index.groupBy("label").agg((F.call_function("div", F.max("shard"), F.lit(GROUP)) + 1).cast("int").alias("groups"))
+    own = F.call_function("div", F.col("shard"), F.lit(GROUP)).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("groups") - 1), lambda o: F.struct(F.least(own, o).alias("g"), F.greatest(own, o).alias("h")))
+    met = index.join(groups, "label").select("label", "shard", "ids", "sizes", "exact", "graph", F.explode(pairs).alias("at")).select("*", "at.*").drop("at")
     check, kind = _compare(least)
-    found = materialize(blocks.repartition(max(1, min(shards, 4096))).mapInArrow(_text.frugal(check), kind), "links")
+    found = materialize(met.groupBy("label", "g", "h").applyInArrow(check, kind), "links")
     linked = components(found.where("b IS NOT NULL").select("a", "b"))
     counts = found.where("b IS NULL").groupBy(F.col("a").alias("class_id")).agg(F.sum("links").alias("links"))
     placed = (
