@@ -5,11 +5,12 @@
    hold a thousandth of all rows or more: ``TOP`` at most, by the sketch's bound.
 3. Their winners are computed exactly by an aggregate that combines map-side, and broadcast
    (``TOP`` rows at most), so that no copy of a frequent text is ever shuffled.
-4. All other digests, each with under a thousandth of the rows, go through one ordinary shuffle.
+4. The winners of all other digests, each with under a thousandth of the rows, come from the same aggregate, and are joined by digest: an
+   ordinary shuffle, whose large partitions AQE's skew join splits. No window takes the rows of a digest together.
 
 Defined cases: a null text counts as empty, and empty texts are equal to each other. Of equal texts the one
 with most code points before normalisation stays, then the smallest id (a null id comes last). Of rows that
-repeat both, one stays. An empty table gives an empty result. Other columns are not read, whatever their names.
+repeat both, one stays. Texts of any length are taken whole. An empty table gives an empty result. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -41,9 +42,11 @@ def normalised(text: Column) -> Column:
 def equal_classes(rows: DataFrame) -> DataFrame:
     """The class of each row of (id, key string not null, rank): plus keep_id, group_size and kept.
 
-    ``rows`` should be a stored table; it is scanned four times. The row with the largest rank, then the
-    smallest id, is kept, exactly one per key.
+    The row with the largest rank, then the smallest id, is kept, exactly one per key. ``rows`` should be a stored table with a column ``row``, which
+    tells rows apart that are equal otherwise; without it the rows are stored here.
     """
+    if "row" not in rows.columns:
+        rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
     total = rows.count()
     frequent = materialize(
         rows.agg(F.expr(f"approx_top_k(key, {TOP}, {COUNTERS})").alias("top"))
@@ -52,34 +55,21 @@ def equal_classes(rows: DataFrame) -> DataFrame:
         .select(F.col("item").alias("key")),
         "frequent",
     )
-    best = F.min(F.struct((-F.col("rank")).alias("r"), F.col("id").isNull().alias("n"), F.col("id").alias("id")))
-    winners = (
-        rows.join(F.broadcast(frequent), "key")
-        .groupBy("key")
-        .agg(best.alias("best"), F.count(F.lit(1)).alias("group_size"))
-        .select("key", F.col("best.id").alias("keep_id"), (-F.col("best.r")).alias("keep_rank"), "group_size")
-    )
-    hot = rows.join(F.broadcast(winners), "key")
-    wins = F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("rank") == F.col("keep_rank"))
-    out = ["id", "key", "rank", "keep_id", "group_size", "kept"]
-    first = hot.where(wins).withColumn("kept", F.row_number().over(Window.partitionBy("key").orderBy("rank")) == 1).select(out)
-    rest = hot.where(~wins).withColumn("kept", F.lit(False)).select(out)
-    by_key = Window.partitionBy("key")
-    ordered = by_key.orderBy(F.col("rank").desc(), F.col("id").asc_nulls_last())
-    cold = (
-        rows.join(F.broadcast(frequent), "key", "left_anti")
-        .withColumn("keep_id", F.first("id").over(ordered))
-        .withColumn("kept", F.row_number().over(ordered) == 1)
-        .withColumn("group_size", F.count(F.lit(1)).over(by_key))
-        .select(out)
-    )
-    return cold.unionByName(first).unionByName(rest)
+    best = F.min(F.struct((-F.col("rank")).alias("r"), F.col("id").isNull().alias("n"), F.col("id").alias("id"), F.col("row").alias("row")))
+
+    def winners(some: DataFrame) -> DataFrame:
+        found = some.groupBy("key").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size"))
+        return found.select("key", F.col("best.id").alias("keep_id"), F.col("best.row").alias("keep_row"), "group_size")
+
+    hot, cold = rows.join(F.broadcast(frequent), "key"), rows.join(F.broadcast(frequent), "key", "left_anti")
+    decided = rows.join(F.broadcast(winners(hot)), "key").unionByName(cold.join(winners(cold), "key"))
+    return decided.select("id", "key", "rank", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"))
 
 
 def exact_dedup(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: id, keep_id, group_size, kept, text_sha256 (of the normalised text)."""
     whole = F.coalesce(F.col(text), F.lit(""))
-    rows = materialize(docs.select(F.col(ident).alias("id"), F.sha2(normalised(F.col(text)).cast("binary"), 256).alias("key"), F.char_length(whole).alias("rank")), "digests")
+    rows = materialize(docs.select(F.col(ident).alias("id"), F.sha2(normalised(F.col(text)).cast("binary"), 256).alias("key"), F.char_length(whole).alias("rank"), F.monotonically_increasing_id().alias("row")), "digests")
     return equal_classes(rows).select(F.col("id").alias(ident), "keep_id", "group_size", "kept", F.col("key").alias("text_sha256"))
 
 
