@@ -7,7 +7,8 @@ its size is fixed by the buckets and the languages learned. Scoring looks up eac
 
 Defined cases: a null text or one without a letter is ``und`` with score 0; n-grams never seen have the smoothed probability; ties go
 to the language first by code point; without training rows every document is ``und``; rows that repeat are scored each; an
-empty table gives an empty result. Characters that lower-case to several stay as they are.
+empty table gives an empty result. Characters that lower-case to several stay as they are. Texts are taken whole: a long one in pieces that
+overlap, whose sums add up, so memory doesn't grow with a text. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ ORDERS = 3
 BUCKET_BITS = 16
 LANGUAGE_DOCS = 4000
 UNKNOWN = "und"
+#: Characters of a long text, and n-grams of a batch, that are worked on at once.
+PIECE, STEP = 1 << 20, 1 << 16
 
 
 @cache
@@ -62,16 +65,42 @@ def grams(column: pa.Array) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     return out, starts, has[starts[1:]] > has[starts[:-1]]
 
 
+def _parts(batch: pa.RecordBatch, at: int) -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray]]:
+    """``grams`` of the batch's texts; of a long text, which stands alone, piece by piece, each n-gram in one piece."""
+    column = batch.column(at)
+    if batch.num_rows != 1 or column.nbytes <= 4 * PIECE:
+        yield grams(column)
+        return
+    text = column[0].as_py()
+    for start in range(0, len(text), PIECE):
+        buckets, starts, known = grams(pa.array([text[start : start + PIECE + ORDERS - 1]]))
+        if start + PIECE < len(text):
+            for bucket in buckets:
+                bucket[PIECE:] = 1 << BUCKET_BITS
+        yield buckets, starts, known
+
+
+def _summed(matrix: np.ndarray, buckets: list[np.ndarray], starts: np.ndarray, total: np.ndarray) -> None:
+    """Add the rows of the matrix of each text's n-grams to the text's row of the total."""
+    texts = np.flatnonzero(np.diff(starts))
+    for first in range(0, int(starts[-1]), STEP):
+        last = min(first + STEP, int(starts[-1]))
+        own = texts[(starts[texts] < last) & (starts[texts + 1] > first)]
+        cuts = np.maximum(starts[own], first) - first
+        for bucket in buckets:
+            total[own] += np.add.reduceat(matrix[bucket[first:last]], cuts, axis=0)
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     totals: dict[str, np.ndarray] = {}
     for whole in batches:
         for batch in _text.slices(whole, "text"):
-            buckets, starts, _ = grams(batch.column(1))
-            for lang in set(batch.column(0).to_pylist()):
-                own = np.repeat(np.array([x == lang for x in batch.column(0).to_pylist()]), np.diff(starts))
-                total = totals.setdefault(lang, np.zeros((1 << BUCKET_BITS) + 1, np.int64))
-                for bucket in buckets:
-                    total += np.bincount(bucket[own], minlength=len(total))
+            for buckets, starts, _ in _parts(batch, 1):
+                for lang in set(batch.column(0).to_pylist()):
+                    own = np.repeat(np.array([x == lang for x in batch.column(0).to_pylist()]), np.diff(starts))
+                    total = totals.setdefault(lang, np.zeros((1 << BUCKET_BITS) + 1, np.int64))
+                    for bucket in buckets:
+                        total += np.bincount(bucket[own], minlength=len(total))
     for lang, total in totals.items():
         at = np.flatnonzero(total[:-1])
         yield pa.record_batch([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(total[at])], names=["lang", "bucket", "n"])
@@ -105,15 +134,14 @@ def _predict(model: Broadcast):
         names = np.array([*languages, UNKNOWN], object)
         for whole in batches:
             for batch in _text.slices(whole, "text"):
-                buckets, starts, known = grams(batch.column(1))
-                known &= bool(languages)
+                known = np.zeros(batch.num_rows, bool)
+                total = np.tile(prior, (batch.num_rows, 1))
+                for buckets, starts, some in _parts(batch, 1):
+                    known |= some & bool(languages)
+                    if languages:
+                        _summed(matrix, buckets, starts, total)
                 best, score = np.full(len(known), len(languages)), np.zeros(len(known))
                 if known.any():
-                    # Texts without characters have no segment to sum; the others' segments lie end to end.
-                    full = np.flatnonzero(np.diff(starts))
-                    total = np.tile(prior, (len(known), 1))
-                    for bucket in buckets:
-                        total[full] += np.add.reduceat(matrix[bucket], starts[:-1][full], axis=0)
                     total -= total.max(axis=1, keepdims=True)
                     likely = np.exp(total)
                     best = np.where(known, total.argmax(axis=1), len(languages))

@@ -282,6 +282,31 @@ def test_language_by_hand():
     assert all((a[:3] == b).all() for a, b in zip(buckets, again, strict=True))
 
 
+def test_language_against_naive_bayes_by_hand(monkeypatch, spark):
+    """Each n-gram's probability looked up and multiplied one by one, also where long texts are cut into pieces."""
+    monkeypatch.setattr(langid, "PIECE", 7)
+    monkeypatch.setattr(langid, "STEP", 5)
+    texts = {"en": ["the house and the garden", "of their father"], "de": ["das Haus und der Garten", "ÄÖ ihrem Vater"]}
+    rows = [(i, t, lang) for i, (lang, t) in enumerate((k, t) for k, v in texts.items() for t in v)]
+    languages, matrix, prior = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    bucket = lambda gram: int(langid.grams(pa.array([gram]))[0][len(gram) - 1][0])
+    grams = lambda t: [t[i : i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1)]
+    assert languages == ["de", "en"] and np.allclose(prior, np.log([0.5, 0.5]))
+    for k, lang in enumerate(languages):
+        counts = Counter(bucket(g) for t in texts[lang] for g in grams(t.lower()))
+        total = sum(counts.values()) + 0.5 * (1 << langid.BUCKET_BITS)
+        assert np.allclose(matrix[list(counts), k], [math.log((n + 0.5) / total) for n in counts.values()], atol=1e-5)
+    asked = ["The Vater of das house", "x", "", "garden " * 30]
+    for cut in (False, True):
+        total = np.tile(prior, (len(asked), 1))
+        for i, text in enumerate(asked):
+            batch = pa.record_batch([pa.array([i]), pa.array([text * 1])], names=["id", "text"])
+            for buckets, starts, _ in langid._parts(batch, 1) if cut else [langid.grams(batch.column(1))]:
+                langid._summed(matrix, buckets, starts, total[i : i + 1])
+        by_hand = [prior + sum(matrix[bucket(g)] for g in grams(t.lower())) if t else prior for t in asked]
+        assert np.allclose(total, by_hand, atol=1e-3)
+
+
 # Mixing.
 
 
