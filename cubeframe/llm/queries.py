@@ -58,7 +58,7 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     ident = F.col("doc_id")
     name = F.when(ident % 64 == 0, F.concat(F.lit("LICENSE."), ident.cast("string"))).otherwise(F.concat(ident.cast("string"), F.lit(".txt")))
     path = F.concat_ws("/", F.coalesce("source", F.lit("-")), F.coalesce("lang", F.lit("-")), F.expr("cast(doc_id div 256 AS string)"), name)
-    return license_scan.scan(_table(spark, sf_dir, "documents").withColumn("path", path))
+    return license_scan.scan(_table(spark, sf_dir, "documents").select("doc_id", "text", path.alias("path")))
 
 
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
