@@ -5,7 +5,8 @@ row of output shards of slots, a block each:
 
 1. The targets: weights over the sources, none above ``CAP`` times its size, the excess reshared by weight.
 2. Each output shard draws its counts of blocks per source from a multinomial over what the targets still lack,
-   so that chance never adds up: at the end every source has the whole number of slots nearest its target.
+   so that chance never adds up: at the end every source has the whole number of slots nearest its target. The draws are in two levels: the driver
+   draws the counts of runs of shards (``MOST_PLANNED`` numbers at most, beside a run's), and a run's task, from its own seed, those of its shards.
 3. A source's j-th slot takes the block at place ``j % blocks`` of a pseudorandom permutation of its blocks, another
    permutation for each pass over them. So a block is used at most ``CAP`` times, and use is even.
 4. Slots join the blocks by (source, index).
@@ -14,8 +15,9 @@ A document's place among its source's words needs no sequential pass: sizes are
 of the id), the sums run up per source, and a window numbers the words within a bucket.
 
 Defined cases: a null text has no words; a null source is a source of its own, last in order; ties in a bucket are broken by
-size; documents without words are reported with 0 taken; an empty table gives an empty result. Equal input gives equal
-output. The sources (one row each) come to the driver, documents and blocks never do.
+size; documents without words are reported with 0 taken; texts of any length are taken whole; an empty table gives an empty result. Equal input gives equal
+output. ``mix`` reads three columns, whatever the names of the others; ``mixed_documents`` keeps all columns, of which none may begin with ``_cf_``.
+The sources (one row each) come to the driver and go to every task that draws, documents and blocks never do.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,6 +39,8 @@ BLOCK_WORDS = 128
 WEIGHTS, CAP = (5, 2, 1), 3
 SHARD_SLOTS = 65536
 LEAST_SHARDS = 8
+#: Counts that the driver draws.
+MOST_PLANNED = 1 << 20
 #: Rows per bucket aimed at, and the range of the number of buckets.
 BUCKET_ROWS, LEAST_BUCKETS, MOST_BUCKETS = 4096, 16, 65536
 #: Words (a fixed pattern): runs of other characters than space and U+0009 to U+000D.
@@ -61,21 +66,43 @@ def targets(sizes: list[int], weights: tuple[float, ...] = WEIGHTS, cap: float =
     return wanted.tolist()
 
 
-def slot_counts(sizes: list[int], wanted: list[float], block_words: int = BLOCK_WORDS, cap: int = CAP, seed: int = 7) -> tuple[list[int], np.ndarray]:
-    """The number of blocks of each source, and an array (output shard, source) of slot counts drawn from multinomials."""
-    blocks = [-(-s // block_words) for s in sizes]
-    total = np.array([min(cap * b, round(w * b / s)) if s else 0 for s, w, b in zip(sizes, wanted, blocks, strict=True)], np.int64)
-    slots = int(total.sum())
-    shards = max(LEAST_SHARDS, -(-slots // SHARD_SLOTS))
-    random, left, drawn = np.random.Generator(np.random.PCG64(seed)), total.copy(), np.zeros((shards, len(sizes)), np.int64)
-    for shard in range(shards):
-        room = int(left.sum()) if shard == shards - 1 else min(int(left.sum()), -(-slots // shards))
+def drawn(total: np.ndarray, rooms: list[int], seed: list[int]) -> Iterator[np.ndarray]:
+    """For each room its counts per source, from multinomials over what is left of the total; the rooms add up to the total."""
+    random, left = np.random.Generator(np.random.PCG64(seed)), total.copy()
+    for room in rooms:
+        own = np.zeros_like(left)
         while room:
+            # What a source has left bounds what it gives; the rest of the room is drawn again.
             take = np.minimum(random.multinomial(room, left / left.sum()), left)
-            drawn[shard] += take
+            own += take
             left -= take
             room -= int(take.sum())
-    return blocks, drawn
+        yield own
+
+
+def _rooms(slots: int, shards: int) -> list[int]:
+    """The slots of each shard: equal ones, the last ones less."""
+    most = -(-slots // shards) if slots else 0
+    return [max(0, min(most, slots - i * most)) for i in range(shards)]
+
+
+def slot_totals(sizes: list[int], wanted: list[float], block_words: int = BLOCK_WORDS, cap: int = CAP) -> tuple[list[int], np.ndarray]:
+    """The number of blocks of each source, and the number of slots that it gets."""
+    blocks = [-(-s // block_words) for s in sizes]
+    return blocks, np.array([min(cap * b, round(w * b / s)) if s else 0 for s, w, b in zip(sizes, wanted, blocks, strict=True)], np.int64)
+
+
+def planned(total: np.ndarray, seed: int) -> Iterator[tuple[int, list[int], np.ndarray, np.ndarray]]:
+    """Runs of output shards: the first shard, the slots of each, the uses of each source before the run, and in it."""
+    slots = int(total.sum())
+    shards = max(LEAST_SHARDS, -(-slots // SHARD_SLOTS))
+    per_run = -(-shards // max(1, min(shards, MOST_PLANNED // max(1, len(total)))))
+    rooms = _rooms(slots, shards)
+    runs = [rooms[i : i + per_run] for i in range(0, shards, per_run)]
+    before = np.zeros_like(total)
+    for number, own in enumerate(drawn(total, [sum(r) for r in runs], [seed])):
+        yield number * per_run, runs[number], before.copy(), own
+        before += own
 
 
 def permuted(x: np.ndarray, n: int, key: int) -> np.ndarray:
@@ -98,19 +125,28 @@ def permuted(x: np.ndarray, n: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _slots(blocks: list[int], seed: int):
+def _slots(plan: Broadcast, seed: int):
+    """The slots of runs of shards (first shard, rooms, uses before, uses)."""
     schema = pa.schema([("number", pa.int32()), ("block", pa.int64()), ("out_shard", pa.int32()), ("slot", pa.int64())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = plan.value
         for batch in batches:
-            for shard, number, first, count, slot in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                for start in range(first, first + count, 1 << 16):
-                    j = np.arange(start, min(first + count, start + (1 << 16)))
-                    turns, at = np.divmod(j, blocks[number])
-                    index = np.empty(len(j), np.int64)
-                    for turn in np.unique(turns):
-                        index[turns == turn] = permuted(at[turns == turn], blocks[number], seed + number * 1009 + int(turn) * 9176263)
-                    yield pa.record_batch([pa.array(np.full(len(j), number, np.int32)), pa.array(index), pa.array(np.full(len(j), shard, np.int32)), pa.array(slot + j - first)], schema=schema)
+            for run, rooms, before, total in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                firsts, total = np.frombuffer(before, "<i8").copy(), np.frombuffer(total, "<i8")
+                for shard, counts in enumerate(drawn(total, np.frombuffer(rooms, "<i8").tolist(), [seed, run]), run):
+                    slot = 0
+                    for number in np.flatnonzero(counts).tolist():
+                        first, count = int(firsts[number]), int(counts[number])
+                        for start in range(first, first + count, 1 << 16):
+                            j = np.arange(start, min(first + count, start + (1 << 16)))
+                            turns, at = np.divmod(j, blocks[number])
+                            index = np.empty(len(j), np.int64)
+                            for turn in np.unique(turns):
+                                index[turns == turn] = permuted(at[turns == turn], blocks[number], seed + number * 1009 + int(turn) * 9176263)
+                            yield pa.record_batch([pa.array(np.full(len(j), number, np.int32)), pa.array(index), pa.array(np.full(len(j), shard, np.int32)), pa.array(slot + j - first)], schema=schema)
+                        slot += count
+                    firsts += counts
 
     return work, "number int, block long, out_shard int, slot long"
 
@@ -130,7 +166,8 @@ def mixture(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = CA
     per_source.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
     sizes = [r["size"] for r in per_source]
     wanted = targets(sizes, weights, cap)
-    sources = F.broadcast(spark.createDataFrame([(r["source"], i, r["size"], w) for i, (r, w) in enumerate(zip(per_source, wanted, strict=True))], "_cf_source string, number int, source_size long, target double"))
+    sources = spark.createDataFrame([(r["source"], i, r["size"], w) for i, (r, w) in enumerate(zip(per_source, wanted, strict=True))], "_cf_source string, number int, source_size long, target double")
+    sources = F.broadcast(sources) if len(per_source) <= BROADCAST_IDS else sources
     buckets = min(MOST_BUCKETS, max(LEAST_BUCKETS, -(-rows.count() // BUCKET_ROWS)))
     rows = rows.join(sources, F.col("source").eqNullSafe(F.col("_cf_source"))).drop("source", "_cf_source").withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int"))
     before = Window.partitionBy("number").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -142,13 +179,11 @@ def mixture(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = CA
     cuts = documents.where("size > 0").select("id", "number", "first", "size", F.explode(F.sequence(F.expr(f"first div {block_words}"), last)).alias("block"))
     start = F.greatest(F.col("block") * block_words - F.col("first"), F.lit(0))
     pieces = cuts.withColumn("start", start).withColumn("words", F.least((F.col("block") + 1) * block_words - F.col("first"), F.col("size")) - F.col("start"))
-    blocks, drawn = slot_counts(sizes, wanted, block_words, cap, seed)
-    firsts = np.cumsum(drawn, axis=0) - drawn
-    slots = np.cumsum(drawn, axis=1) - drawn
-    plan = [(m, s, int(firsts[m, s]), int(drawn[m, s]), int(slots[m, s])) for m in range(drawn.shape[0]) for s in range(drawn.shape[1]) if drawn[m, s]]
-    work, types = _slots(blocks, seed)
-    tasks = max(1, min(len(plan), int(drawn.sum()) // SHARD_SLOTS + 1))
-    table = spark.createDataFrame(plan, "out_shard int, number int, first long, count long, slot long").repartition(tasks).mapInArrow(_text.frugal(work), types)
+    blocks, total = slot_totals(sizes, wanted, block_words, cap)
+    runs = [(first, np.array(rooms, "<i8").tobytes(), before.astype("<i8").tobytes(), own.astype("<i8").tobytes()) for first, rooms, before, own in planned(total, seed)]
+    work, types = _slots(spark.sparkContext.broadcast(blocks), seed)
+    tasks = max(1, min(len(runs), int(total.sum()) // SHARD_SLOTS + 1))
+    table = spark.createDataFrame(runs, "run int, rooms binary, before binary, total binary").repartition(tasks).mapInArrow(_text.frugal(work), types)
     return documents, pieces, table
 
 

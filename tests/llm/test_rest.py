@@ -319,6 +319,22 @@ def test_targets():
     assert sum(wanted) == pytest.approx(sum(sizes)) and all(w <= 3 * s + 1e-9 for w, s in zip(wanted, sizes, strict=True))
 
 
+def test_slots_of_runs_add_up(monkeypatch):
+    """Every source gets its slots, however many runs the driver draws; a large plan stays small."""
+    total = np.array([70_000, 0, 5, 123_456, 1_000_000])
+    monkeypatch.setattr(mixing, "SHARD_SLOTS", 4096)
+    for planned in (5, 100, 1 << 20):
+        monkeypatch.setattr(mixing, "MOST_PLANNED", planned)
+        runs = list(mixing.planned(total, 7))
+        assert (sum(own for *_, own in runs) == total).all() and len(runs) * len(total) <= max(planned, 5)
+        shards = [(first + i, counts) for first, rooms, _, own in runs for i, counts in enumerate(mixing.drawn(own, rooms, [7, first]))]
+        assert (sum(c for _, c in shards) == total).all() and [s for s, _ in shards] == list(range(len(shards)))
+        assert max(int(c.sum()) for _, c in shards) <= 4096 and np.std([c[4] / max(1, c.sum()) for _, c in shards[:-1]]) < 0.05
+    monkeypatch.setattr(mixing, "MOST_PLANNED", 1 << 20)
+    monkeypatch.setattr(mixing, "SHARD_SLOTS", 65536)
+    assert sum(len(own) for *_, own in mixing.planned(np.full(10_000, 50_000), 7)) <= 1 << 20
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 64, 65, 1000])
 def test_permutation(n):
     a, b = (mixing.permuted(np.arange(n), n, key) for key in (5, 6))
