@@ -83,4 +83,23 @@ ORACLE: dict[str, str] = {
             FROM rows WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id)
         )
         SELECT doc_id, keep_id, group_size, kept, text_sha256 FROM placed""",
+    # Classes of equal sets, links between them by shared shingles, and what is reachable.
+    "op9_minhash": r"""
+        WITH RECURSIVE words AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+            FROM documents
+        ), sets AS (
+            SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) END AS s
+            FROM words
+        ), classes AS (SELECT s, min(doc_id) AS rep, len(s) AS n FROM sets WHERE len(s) > 0 GROUP BY s),
+        entries AS (SELECT rep, n, unnest(s) AS x FROM classes),
+        links AS (
+            SELECT a.rep AS u, b.rep AS v FROM entries a JOIN entries b ON a.x = b.x AND a.rep < b.rep AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+            GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+        ), edges AS (SELECT u, v FROM links UNION ALL SELECT v, u FROM links),
+        reach AS (SELECT rep AS u, rep AS v FROM classes UNION SELECT reach.u, edges.v FROM reach JOIN edges ON reach.v = edges.u),
+        comps AS (SELECT u AS rep, min(v) AS component_id FROM reach GROUP BY u)
+        SELECT d.doc_id, CAST(len(d.s) AS BIGINT) AS n_shingles, coalesce(c.component_id, d.doc_id) AS component_id, coalesce(c.component_id, d.doc_id) = d.doc_id AS kept
+        FROM sets d LEFT JOIN classes k ON k.s = d.s LEFT JOIN comps c ON c.rep = k.rep""",
 }
