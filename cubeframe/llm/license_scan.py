@@ -5,8 +5,8 @@
    that have such a word. A licence file (by its name) is also compared as a whole; its text is known by its title or its grant.
    An SPDX line is not compared but read: the first one's identifier is the licence (``-only``, ``-or-later`` and ``+`` of templates'
    names left off; identifiers without a template and expressions stay as they are).
-2. The weights: the presence of each template word in the text, times its inverse document frequency, which is counted over all
-   documents. A word that is in no template weighs as much as one that no document has, so that prose
+2. The weights: the frequency of each word in the text (one and the logarithm of its number), times its inverse document frequency,
+   which is counted over all documents. A word that is in no template weighs as much as one that no document has, so that prose
    around a licence word lowers the cosine. The vectors of the templates are a literal map of at most their words, so lines
    are scored where they are, without a join.
 3. The best template with a cosine of ``LEAST`` or more is the file's licence. A directory's licence is that of its licence file (of
@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -60,12 +61,17 @@ LEAST = 0.6
 
 
 def _words(text: Column) -> Column:
-    """The distinct lower-case words of a text."""
-    return F.array_distinct(F.filter(F.split(F.lower(text), WORD_BREAK), lambda w: w != ""))
+    """The lower-case words of a text, as often as they come."""
+    return F.filter(F.split(F.lower(text), WORD_BREAK), lambda w: w != "")
 
 
-def _template_words() -> dict[tuple[str, int], set[str]]:
-    return {(name, i): {w for w in re.split(WORD_BREAK, t.lower()) if w} for name, texts in TEMPLATES.items() for i, t in enumerate(texts)}
+def _frequency(n: int) -> float:
+    return 1 + math.log(n)
+
+
+def _template_words() -> dict[tuple[str, int], dict[str, float]]:
+    """The frequencies of the words of each template."""
+    return {(name, i): {w: _frequency(n) for w, n in Counter(filter(None, re.split(WORD_BREAK, t.lower()))).items()} for name, texts in TEMPLATES.items() for i, t in enumerate(texts)}
 
 
 def document_frequency(texts: DataFrame, text: str = "text") -> tuple[int, dict[str, int]]:
@@ -79,18 +85,24 @@ def document_frequency(texts: DataFrame, text: str = "text") -> tuple[int, dict[
 
 
 def _best(words: Column, total: int, frequency: dict[str, int]) -> Column:
-    """The best template of a set of words: struct(similarity, licence), similarity 0 without a word in common."""
+    """The best template for the words of a text: struct(similarity, licence), similarity 0 without a word in common."""
     vectors = _template_words()
     idf = {w: math.log((total + 1) / (frequency.get(w, 0) + 1)) + 1 for w in sorted(set().union(*vectors.values()))}
     unknown = math.log(total + 1) + 1
     names = sorted(vectors)
-    norms = [math.sqrt(sum(idf[w] ** 2 for w in vectors[n])) for n in names]
-    table = F.create_map(*[x for w in idf for x in (F.lit(w), F.array(F.lit(idf[w] ** 2), *[F.lit(idf[w] ** 2 if w in vectors[n] else 0.0) for n in names]))])
-    zero = F.array(*[F.lit(0.0)] * (len(names) + 1))
-    outside = F.array(F.lit(unknown**2), *[F.lit(0.0)] * len(names))
-    sums = F.aggregate(words, zero, lambda acc, w: F.zip_with(acc, F.coalesce(F.try_element_at(table, w), outside), lambda a, b: a + b))
-    ends = F.array(*[F.struct(F.lit(i + 1).alias("i"), F.lit(norms[i]).alias("norm"), F.lit(names[i][0]).alias("licence"), F.lit(len(names) - i).alias("first")) for i in range(len(names))])
-    scored = F.transform(F.array(sums), lambda s: F.array_max(F.transform(ends, lambda e: F.struct(F.when(F.get(s, F.lit(0)) > 0, F.get(s, e["i"]) / (F.sqrt(F.get(s, F.lit(0))) * e["norm"])).otherwise(0.0).alias("similarity"), e["first"].alias("first"), e["licence"].alias("licence")))))
+    norms = [math.sqrt(sum((vectors[n][w] * idf[w]) ** 2 for w in vectors[n])) for n in names]
+    squares = F.create_map(*[F.lit(x) for w in idf for x in (w, idf[w] ** 2)])
+    dots = F.create_map(*[x for w in idf for x in (F.lit(w), F.array(*[F.lit(vectors[n].get(w, 0.0) * idf[w] ** 2) for n in names]))])
+    # Words in order come in runs; the end of a run adds its word's square to the norm, and its products if a template has the word.
+    times = lambda s: 1 + F.log(s["n"].cast("double"))
+    norm = lambda s: s["norm"] + times(s) * times(s) * F.coalesce(F.try_element_at(squares, s["word"]), F.lit(unknown**2))
+    sums = lambda s: F.coalesce(F.zip_with(s["dots"], F.try_element_at(dots, s["word"]), lambda a, b: a + times(s) * b), s["dots"])
+    state = lambda word, n, square, products: F.struct(word.alias("word"), n.alias("n"), square.alias("norm"), products.alias("dots"))
+    start = state(F.lit(None).cast("string"), F.lit(0), F.lit(0.0), F.array(*[F.lit(0.0)] * len(names)))
+    step = lambda s, w: F.when(s["word"] == w, state(w, s["n"] + 1, s["norm"], s["dots"])).when(s["n"] == 0, state(w, F.lit(1), s["norm"], s["dots"])).otherwise(state(w, F.lit(1), norm(s), sums(s)))
+    ends = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(norms[i]).alias("norm"), F.lit(names[i][0]).alias("licence"), F.lit(len(names) - i).alias("first")) for i in range(len(names))])
+    whole = F.aggregate(F.array_sort(words), start, step, lambda s: F.struct(F.when(s["n"] > 0, norm(s)).otherwise(0.0).alias("norm"), F.when(s["n"] > 0, sums(s)).otherwise(s["dots"]).alias("dots")))
+    scored = F.transform(F.array(whole), lambda s: F.array_max(F.transform(ends, lambda e: F.struct(F.when(s["norm"] > 0, F.get(s["dots"], e["i"]) / (F.sqrt(s["norm"]) * e["norm"])).otherwise(0.0).alias("similarity"), e["first"].alias("first"), e["licence"].alias("licence")))))
     return F.get(scored, F.lit(0))
 
 
