@@ -39,6 +39,11 @@ def normalised(text: Column) -> Column:
     return text
 
 
+def digest(text: Column) -> Column:
+    """The SHA-256 of the normalised text."""
+    return F.sha2(normalised(text).cast("binary"), 256)
+
+
 def equal_classes(rows: DataFrame) -> DataFrame:
     """The class of each row of (id, key string not null, rank): plus keep_id, group_size and kept.
 
@@ -69,17 +74,19 @@ def equal_classes(rows: DataFrame) -> DataFrame:
 def exact_dedup(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: id, keep_id, group_size, kept, text_sha256 (of the normalised text)."""
     whole = F.coalesce(F.col(text), F.lit(""))
-    rows = materialize(docs.select(F.col(ident).alias("id"), F.sha2(normalised(F.col(text)).cast("binary"), 256).alias("key"), F.char_length(whole).alias("rank"), F.monotonically_increasing_id().alias("row")), "digests")
+    rows = materialize(docs.select(F.col(ident).alias("id"), digest(F.col(text)).alias("key"), F.char_length(whole).alias("rank"), F.monotonically_increasing_id().alias("row")), "digests")
     return equal_classes(rows).select(F.col("id").alias(ident), "keep_id", "group_size", "kept", F.col("key").alias("text_sha256"))
 
 
-def without(docs: DataFrame, decisions: DataFrame, ident: str = "doc_id") -> DataFrame:
+def without(docs: DataFrame, decisions: DataFrame, ident: str = "doc_id", text: str | None = None) -> DataFrame:
     """The rows of ``docs`` that ``decisions`` (id, kept; one row per row of docs) keeps, with all their columns.
 
     The dropped ids are broadcast only up to ``BROADCAST_IDS`` of them. Where an id has both kept and
-    dropped rows, as many of its rows stay as were kept.
+    dropped rows, as many of its rows stay as were kept: with ``text``, the column that the decisions' text_sha256 is of,
+    as many of each normalised text, the longest first.
     """
-    decisions = materialize(decisions.select(F.col(ident).alias("_cf_id"), "kept"), "decisions")
+    key = F.lit("") if text is None else F.col("text_sha256")
+    decisions = materialize(decisions.select(F.col(ident).alias("_cf_id"), key.alias("_cf_key"), "kept"), "decisions")
     per_id = decisions.groupBy("_cf_id").agg(F.count_if("kept").alias("_cf_n"), F.count(F.lit(1)).alias("_cf_all"))
     dropped = materialize(per_id.where(F.col("_cf_n") < F.col("_cf_all")), "dropped")
     facts = dropped.agg(F.count(F.lit(1)), F.count_if(F.col("_cf_n") > 0)).first()
@@ -87,7 +94,11 @@ def without(docs: DataFrame, decisions: DataFrame, ident: str = "doc_id") -> Dat
     on = F.col(ident).eqNullSafe(F.col("_cf_id"))
     stays = docs.join(gone, on, "left_anti")
     if facts[1]:
-        some = docs.join(gone.where("_cf_n > 0"), on)
-        place = F.row_number().over(Window.partitionBy(ident).orderBy(*[F.col(c) for c in docs.columns if c != ident]))
-        stays = stays.unionByName(some.withColumn("_cf_place", place).where("_cf_place <= _cf_n").select(docs.columns))
+        # Of these few ids the rows are told apart by text; columns of docs stand in a struct, so no name can clash.
+        parts = gone.where("_cf_n > 0").select("_cf_id")
+        some = docs.join(parts, on).select(F.col(ident).alias("_cf_id"), (F.lit("") if text is None else digest(F.col(text))).alias("_cf_key"), (F.lit(0) if text is None else -F.char_length(F.coalesce(F.col(text), F.lit("")))).alias("_cf_first"), F.struct(*docs.columns).alias("_cf_row"))
+        counts = decisions.where("kept").groupBy(F.col("_cf_id").alias("_cf_own"), F.col("_cf_key").alias("_cf_text_key")).agg(F.count(F.lit(1)).alias("_cf_n"))
+        some = some.join(counts, F.col("_cf_id").eqNullSafe(F.col("_cf_own")) & (F.col("_cf_key") == F.col("_cf_text_key")))
+        place = F.row_number().over(Window.partitionBy("_cf_id", "_cf_key").orderBy("_cf_first", *[F.col("_cf_row")[c] for c in docs.columns if c != ident]))
+        stays = stays.unionByName(some.withColumn("_cf_place", place).where("_cf_place <= _cf_n").select("_cf_row.*"))
     return stays

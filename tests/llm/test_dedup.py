@@ -68,6 +68,15 @@ def test_without_keeps_columns_and_one_of_repeated_rows(edge_docs, edge_rows):
     assert Counter(r["doc_id"] for r in left.collect()) == wanted
 
 
+def test_without_tells_texts_of_an_id_apart(spark):
+    """Id 2 has a copy of another text, which goes, a text of its own twice, of which the longer row stays, and a null id likewise."""
+    rows = [(1, "a b"), (2, "ab"), (2, "z z"), (2, "z  z"), (None, "a  "), (None, "a b"), (3, "a"), (4, "q")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    left = exact_dedup.without(docs, exact_dedup.exact_dedup(docs), text="text")
+    assert left.columns == docs.columns
+    assert Counter(map(tuple, left.collect())) == Counter([(1, "a b"), (2, "z  z"), (None, "a  "), (4, "q")])
+
+
 def test_empty_tables(spark, no_docs):
     assert exact_dedup.exact_dedup(no_docs).count() == 0
     assert minhash_dedup.minhash_dedup(no_docs).count() == 0

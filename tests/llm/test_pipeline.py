@@ -63,6 +63,49 @@ def test_packing_holds_all_tokens(stages):
     assert sum(r["n"] != 4096 for r in per) <= 1
 
 
+@pytest.fixture(scope="module")
+def edge_sf(spark, tmp_path_factory, edge_rows):
+    """Labels with nulls, repeated rows and contradictions for the ids of the edge rows."""
+    at = tmp_path_factory.mktemp("edge")
+    labels = [(i, i % 2, 0) for i in range(1, 14)] + [(None, 1, 1), (4, None, None), (5, 1, 1), (5, 1, 1), (6, 0, 1), (99, 1, 0)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+    return str(at)
+
+
+def whole(rows):
+    return Counter(map(str, rows.collect()))
+
+
+def test_stages_on_edge_rows(spark, edge_docs, edge_rows, edge_sf):
+    """Each stage on nulls, empty and long texts, ties, rows that repeat and clashing columns."""
+    stage, before = dict(corpus_pipeline.STAGES), whole(edge_docs)
+    for name in ("quality", "exact_dedup", "minhash_dedup"):
+        left = stage[name](spark, edge_docs, edge_sf)
+        assert left.columns == edge_docs.columns and left.schema == edge_docs.schema and whole(left) <= before
+    classes = {re.sub(r"[\x20\x09-\x0D]", "", r[1] or "") for r in edge_rows}
+    assert stage["exact_dedup"](spark, edge_docs, edge_sf).count() == len(classes)
+    mixed = stage["mixing"](spark, edge_docs, edge_sf)
+    assert mixed.columns == edge_docs.columns
+    words = {r[0]: set((r[1] or "").split()) for r in edge_rows if r[0] is not None}
+    assert all(set(r["text"].split()) <= words[r["doc_id"]] for r in mixed.where("doc_id IS NOT NULL").collect())
+    pieces = stage["packing"](spark, edge_docs, edge_sf)
+    assert pieces.where("start = 0").count() == len(edge_rows)
+    assert pieces.agg(F.sum("length")).first()[0] == pieces.where("start = 0").agg(F.sum("doc_tokens")).first()[0]
+
+
+def test_stages_on_empty_tables(spark, no_docs, edge_sf):
+    for name, stage in corpus_pipeline.STAGES:
+        left = stage(spark, no_docs, edge_sf)
+        assert left.count() == 0 and (name == "packing" or left.columns == no_docs.columns)
+
+
+def test_run_on_edge_rows(spark, edge_docs, edge_sf):
+    edge_docs.write.parquet(f"{edge_sf}/documents.parquet")
+    pieces = corpus_pipeline.run(spark, edge_sf)
+    assert pieces.agg(F.sum("length")).first()[0] == pieces.where("start = 0").agg(F.sum("doc_tokens")).first()[0]
+    assert pieces.groupBy("sequence_id", "offset").count().where("count > 1").count() == 0
+
+
 def test_queries_on_whole_tables(spark, sf):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
