@@ -1,7 +1,11 @@
 """From raw documents to packed training sequences: the stages of the corpus pipeline.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes it as Parquet to the shared folder and reads
-it back as the next stage's documents. All stages but the last return the columns of ``documents``.
+it back as the next stage's documents. All stages but the last return the columns of ``documents``, more columns included, whatever their names.
+
+Defined cases, beside those of the operators: an empty table gives an empty result in every stage. Null and empty texts are judged by the grades' base
+rates, are equal to each other, are near nothing, hold no words for the mix to take, so end there, and pack as the end token alone. Rows that repeat are judged each;
+of equal texts one row stays, also where ids repeat or are null. Texts of any length are taken whole; only packing cuts them.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts that are equal but for white space, one document stays."""
-    return exact_dedup.without(docs, exact_dedup.exact_dedup(docs))
+    return exact_dedup.without(docs, exact_dedup.exact_dedup(docs), text="text")
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
