@@ -192,6 +192,17 @@ def test_quality_scores_by_hand(edge_rows):
     assert np.allclose(np.add.reduceat(weights[at] * values, bounds[:-1]), by_hand, atol=0.05)
 
 
+def test_quality_scores_are_the_same_in_any_batch(edge_rows):
+    """To the last bit, as the threshold is the score of a document."""
+    dice = np.random.default_rng(4)
+    texts = [r[1] for r in edge_rows] + ["".join(dice.choice(list("abcd ef  "), size=n)) for n in dice.integers(0, 3000, 200)]
+    weights = dice.normal(size=(2 << quality.BITS) + 1)
+    alone = np.concatenate([quality.scores(pa.array([t], pa.string()), weights) for t in texts])
+    for _ in range(3):
+        order = dice.permutation(len(texts))
+        assert (quality.scores(pa.array([texts[i] for i in order], pa.string()), weights) == alone[order]).all()
+
+
 def test_quality_gradient():
     """The fit's direction is that of finite differences of the likelihood."""
     random = np.random.default_rng(8)
