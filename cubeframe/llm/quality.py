@@ -3,11 +3,14 @@
 A document's features are its lower-cased words and its case-sensitive byte trigrams, hashed to ``1 << BITS`` buckets each, and the words that
 repeat the one before them. A word counts by the logarithm of its number over the root of the number of words, so that few words can tell in a long text;
 trigrams and repeats count by their frequency. One weight vector is shared by all grades, and ordered thresholds cut its score:
-P(grade > k) = sigmoid(score - threshold k). The fit is by Adam, in batches, on a sample of rated documents: of about ``RATED`` ratings (by hash of the id)
-and ``RATED_FEATURES`` features, whatever the number and the length of the texts; it alone comes to the driver. Of an id's ratings equal ones are one
-row with a weight, and so are equal texts of a grade, so neither can make the sample larger. About ``CALIBRATED`` other ratings
-settle the probability that selection asks for: ``CLEAN_LOSS`` of those with the top grade lie below it. Scoring is a lookup per word and trigram, with
-the weights broadcast (fixed size).
+P(grade > k) = sigmoid(score - threshold k). All ratings count: by hash of the id four fifths (``FITTED``) are fitted, and the rest settle the
+probability that selection asks for: ``CLEAN_LOSS`` of those with the top grade lie below it, exactly.
+
+The fit has two steps. On the driver, Adam in batches finds where to start, from about ``RATED`` ratings and ``RATED_FEATURES`` features, whatever the
+number and the length of the texts; of an id's ratings equal ones are one row with a weight, and so are equal texts of a grade. If that
+was not all there is, L-BFGS goes on from there with the loss and the gradient of all fitted ratings: their features are stored once, each of at most ``PASSES`` passes sums
+over them in at most ``SUMS`` tasks, and a sum per task (of fixed size) comes to the driver. Terms are rounded to multiples of ``GRID``, so that sums
+are the same in any order. Scoring is a lookup per word and trigram, with the weights broadcast (fixed size).
 
 Defined cases: null and empty texts have no features and get the score 0 and the grades' base rates; ratings that are
 null are ignored; without ratings, or with one grade only, every document is kept with the top grade; rows that repeat are
@@ -32,10 +35,20 @@ from ._store import materialize, ship
 BITS = 17
 #: What the counts of words (log over root), and the frequencies of trigrams and of repeated words are multiplied by.
 WORD_SCALE, TRIGRAM_SCALE, REPEAT_SCALE = 2.0, 8.0, 8.0
-#: Ratings that are fitted and ratings that settle the probability asked for, on average; of fewer than both, a fifth settles.
+#: The share of the ratings that is fitted; all others settle the probability asked for.
+FITTED = 0.8
+#: Ratings that the fit starts from, on average, and as many more as make them ``FITTED`` of both: with fewer in all it starts from all that are fitted.
 RATED, CALIBRATED = 12000, 4000
-#: Features of the fitted texts, on average (6 bytes each; a text has at most twice ``1 << BITS`` and one).
+#: Features of the texts that the fit starts from, on average (6 bytes each; a text has at most twice ``1 << BITS`` and one).
 RATED_FEATURES = 16 << 20
+#: Passes over all fitted ratings, the tasks of a pass (2 MB each come to the driver), and the steps that L-BFGS remembers.
+PASSES, SUMS, MEMORY = 30, 16, 8
+#: What the terms of a pass are rounded to: sums below 2**21 are exact.
+GRID = 2.0**-32
+#: Ratings are broadcast up to this many (some 20 MB); beyond it the join with the texts shuffles.
+BROADCAST_RATINGS = 1 << 18
+#: Probabilities that come to the driver at once.
+MOST_VALUES = 1 << 16
 #: The share of the documents of the top grade that selection may lose.
 CLEAN_LOSS = 0.01
 STEPS, BATCH, RATE, DECAY = 400, 1500, 0.2, 1e-5
@@ -108,15 +121,21 @@ def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([*batch.columns[:3], pa.array(at, pa.binary()), pa.array(values, pa.binary())], names=["key", "grade", "weight", "at", "value"])
 
 
-def slopes(score: np.ndarray, cuts: np.ndarray, grades: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The derivatives of the negative log-likelihood, to which row i adds by part[i], by the rows' scores and by the thresholds."""
+def _row_slopes(score: np.ndarray, cuts: np.ndarray, grades: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each row's likelihood, and the derivatives of its negative logarithm by the score and by each threshold."""
     above = 1 / (1 + np.exp(-np.clip(score[:, None] - np.concatenate([[-40.0], cuts, [40.0]])[None, :], -40, 40)))
     own = np.arange(len(score))
     likely = np.maximum(above[own, grades] - above[own, grades + 1], 1e-9)
     slope = above * (1 - above)
     by_low, by_high = slope[own, grades] / likely, slope[own, grades + 1] / likely
-    by_cut = np.array([((np.where(grades == k + 1, by_low, 0) - np.where(grades == k, by_high, 0)) * part).sum() for k in range(len(cuts))])
-    return -(by_low - by_high) * part, by_cut
+    by_cut = np.array([np.where(grades == k + 1, by_low, 0) - np.where(grades == k, by_high, 0) for k in range(len(cuts))])
+    return likely, by_high - by_low, by_cut
+
+
+def slopes(score: np.ndarray, cuts: np.ndarray, grades: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The derivatives of the negative log-likelihood, to which row i adds by part[i], by the rows' scores and by the thresholds."""
+    _, by_score, by_cut = _row_slopes(score, cuts, grades)
+    return by_score * part, (by_cut * part).sum(axis=1)
 
 
 def fit(grades: np.ndarray, bounds: np.ndarray, at: np.ndarray, values: np.ndarray, top: int, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -150,9 +169,84 @@ def fit(grades: np.ndarray, bounds: np.ndarray, at: np.ndarray, values: np.ndarr
     return mean[:size], np.cumsum(np.concatenate([mean[size : size + 1], np.exp(mean[size + 1 :])]))
 
 
+def _total(shared: Broadcast):
+    """A task's sums over its rows of ``_sparse``: the count, the loss, and its derivatives by the thresholds and by the weights."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights, cuts = shared.value
+        count, loss, by_cuts, by_weights = 0, 0.0, np.zeros(len(cuts)), np.zeros(len(weights))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows_at = batch.column(3).to_pylist()
+            bounds = np.cumsum([0, *[len(x) // 4 for x in rows_at]])
+            at, values = np.frombuffer(b"".join(rows_at), "<i4"), np.frombuffer(b"".join(batch.column(4).to_pylist()), "<f2").astype(np.float64)
+            grades, part = batch.column(1).to_numpy(), batch.column(2).to_numpy().astype(np.float64)
+            likely, by_score, by_cut = _row_slopes(np.add.reduceat(weights[at] * values, bounds[:-1]), cuts, grades)
+            values *= np.repeat(by_score * part, np.diff(bounds))
+            by_weights += np.bincount(at, np.rint(values / GRID) * GRID, len(weights))
+            by_cuts += (np.rint(by_cut * part / GRID) * GRID).sum(axis=1)
+            loss -= (np.rint(np.log(likely) * part * 2**20) / 2**20).sum()
+            count += int(part.sum())
+        yield pa.record_batch([pa.array([np.concatenate([[count, loss], by_cuts, by_weights]).tobytes()], pa.binary())], names=["sums"])
+
+    return work
+
+
+def _objective(table: DataFrame):
+    """The function of weights and thresholds (the first, and the logarithms of the gaps) that ``fit`` makes small, over all rows of the stored table: its value and gradient."""
+    spark, size = table.sparkSession, (2 << BITS) + 1
+    rows = table.coalesce(max(1, min(SUMS, spark.sparkContext.defaultParallelism)))
+
+    def at(theta: np.ndarray) -> tuple[float, np.ndarray]:
+        weights, cuts = theta[:size], np.cumsum(np.concatenate([theta[size : size + 1], np.exp(theta[size + 1 :])]))
+        shared = spark.sparkContext.broadcast((weights, cuts))
+        parts = rows.mapInArrow(_text.frugal(_total(shared)), "sums binary").toArrow().column("sums")  # SUMS rows at most
+        shared.destroy()
+        total = np.sum([np.frombuffer(x.as_buffer(), "<f8") for x in parts], axis=0)
+        loss, by_cut, by_weight = total[1] / total[0], total[2 : 2 + len(cuts)] / total[0], total[2 + len(cuts) :] / total[0]
+        tail = np.cumsum(by_cut[::-1])[::-1]
+        return loss + DECAY / 2 * float(weights @ weights), np.concatenate([by_weight + DECAY * weights, tail[:1], tail[1:] * np.exp(theta[size + 1 :])])
+
+    return at
+
+
+def descend(objective, theta: np.ndarray, passes: int) -> np.ndarray:
+    """L-BFGS from theta with at most so many calls of the objective; the best point found."""
+    value, gradient = objective(theta)
+    steps: list[tuple[np.ndarray, np.ndarray, float]] = []
+    passes -= 1
+    while passes > 0 and np.abs(gradient).max() > 1e-7:
+        way, factors = -gradient, []
+        for s, y, r in reversed(steps):
+            factors.append(r * float(s @ way))
+            way -= factors[-1] * y
+        if steps:
+            s, y, r = steps[-1]
+            way *= 1 / (r * float(y @ y))
+        else:
+            way /= max(1.0, float(np.abs(gradient).sum()))
+        for (s, y, r), f in zip(steps, reversed(factors), strict=True):
+            way += s * (f - r * float(y @ way))
+        slope, length, found = float(gradient @ way), 1.0, False
+        while passes > 0 and not found:
+            other = theta + length * way
+            other_value, other_gradient = objective(other)
+            passes -= 1
+            found = other_value <= value + 1e-4 * length * slope
+            length /= 4
+        if not found:
+            break
+        s, y = other - theta, other_gradient - gradient
+        if float(s @ y) > 1e-12:
+            steps = [*steps[1 - MEMORY :], (s, y, 1 / float(s @ y))]
+        theta, value, gradient = other, other_value, other_gradient
+    return theta
+
+
 def _shares(n: int) -> tuple[float, float]:
-    """The shares of n ratings that are fitted and that settle the probability asked for."""
-    fitted = min(0.8, RATED / max(n, 1))
+    """The shares of n ratings that the fit starts from, and of those beside them."""
+    fitted = min(FITTED, RATED / max(n, 1))
     return fitted, min(1.0 - fitted, CALIBRATED / max(n, 1))
 
 
@@ -172,33 +266,62 @@ def train(docs: DataFrame, ratings: DataFrame, ident: str = "doc_id", text: str
     spark = docs.sparkSession
     ship(spark)
     ratings = ratings.select(F.col(ident).alias("_cf_id"), F.col("grade").cast("int").alias("_cf_grade")).where("_cf_id IS NOT NULL AND _cf_grade IS NOT NULL").groupBy("_cf_id", "_cf_grade").agg(F.count(F.lit(1)).alias("_cf_weight"))
-    fitted, settled = _shares(ratings.count())
+    ratings = materialize(ratings, "ratings")
+    n = ratings.count()
+    start, _ = _shares(n)
     place = F.pmod(F.xxhash64(F.col("_cf_id"), F.lit("quality")), F.lit(1 << 30)) / float(1 << 30)
-    sample = ratings.withColumn("_cf_place", place).where(F.col("_cf_place") < fitted + settled)
-    rated = docs.select(F.col(ident).alias("_cf_doc"), F.col(text).alias("text")).join(F.broadcast(sample), F.col("_cf_doc") == F.col("_cf_id"))
-    rated = rated.groupBy(F.col("_cf_grade").alias("grade"), (F.col("_cf_place") < fitted).alias("fitted"), "text").agg(F.sum("_cf_weight").alias("weight"))
-    rated = materialize(rated.withColumn("key", F.xxhash64("text")).select("key", "grade", "weight", "text", "fitted"), "rated")
-    wanted = rated.where("fitted").agg(F.sum(F.least(F.coalesce(F.octet_length("text"), F.lit(0)), F.lit(2 << BITS)))).first()[0] or 0
-    some = rated.where("fitted").where(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < int(min(1.0, RATED_FEATURES / max(wanted, 1)) * (1 << 30)))
-    table = some.select("key", "grade", "weight", "text").mapInArrow(_text.frugal(_sparse), "key long, grade int, weight long, at binary, value binary").toArrow()  # RATED rows and RATED_FEATURES features, about
+    placed = ratings.withColumn("_cf_place", place)
+    placed = F.broadcast(placed) if n <= BROADCAST_RATINGS else placed
+    rated = docs.select(F.col(ident).alias("_cf_doc"), F.col(text).alias("text")).join(placed, F.col("_cf_doc") == F.col("_cf_id"))
+    rated = materialize(rated.select(F.xxhash64("text").alias("key"), F.col("_cf_grade").alias("grade"), F.col("_cf_weight").alias("weight"), "text", F.col("_cf_place").alias("place")), "rated")
+    some = rated.where(F.col("place") < start).groupBy("grade", "text").agg(F.sum("weight").alias("weight"), F.first("key").alias("key"))
+    wanted = some.agg(F.sum(F.least(F.coalesce(F.octet_length("text"), F.lit(0)), F.lit(2 << BITS)))).first()[0] or 0
+    share = min(1.0, RATED_FEATURES / max(wanted, 1))
+    types = "key long, grade int, weight long, at binary, value binary"
+    some = some.where(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    table = some.select("key", "grade", "weight", "text").mapInArrow(_text.frugal(_sparse), types).toArrow()  # RATED rows and RATED_FEATURES features, about
     grades, counts, bounds, at, values = _arrays(table)
     del table
-    if len(np.unique(grades)) < 2:
+    fitted = rated.where(F.col("place") < FITTED)
+    facts = fitted.agg(F.countDistinct("grade"), F.max("grade")).first()
+    if facts[0] < 2:
         return Model(np.zeros((2 << BITS) + 1), np.zeros(0), 0.0)
-    model = Model(*fit(grades, bounds, at, values, int(grades.max()), counts), 0.5)
+    top = int(facts[1])
+    weights, cuts = fit(grades, bounds, at, values, top, counts) if len(grades) else (np.zeros((2 << BITS) + 1), np.arange(top, dtype=float))
     del at, values
     _text.release()
-    others = graded(rated.where(~F.col("fitted") & (F.col("grade") == int(grades.max()))), model, ["weight"]).select("weight", "p_top").toArrow()  # CALIBRATED rows, about
-    return model._replace(least=_quantile(others.column("p_top").to_numpy(), others.column("weight").to_numpy(), CLEAN_LOSS, model.least))
-
-
-def _quantile(values: np.ndarray, counts: np.ndarray, share: float, default: float) -> float:
-    """The largest value with at most ``share`` of all below it."""
+    if start < FITTED or share < 1:
+        rows = materialize(fitted.select("key", "grade", "weight", "text").mapInArrow(_text.frugal(_sparse), types), "features")
+        theta = descend(_objective(rows), np.concatenate([weights, cuts[:1], np.log(np.diff(cuts))]), PASSES)
+        weights, cuts = theta[: len(weights)], np.cumsum(np.concatenate([theta[len(weights) : len(weights) + 1], np.exp(theta[len(weights) + 1 :])]))
+        _text.release()
+    model = Model(weights, cuts, 0.5)
+    others = graded(rated.where((F.col("place") >= FITTED) & (F.col("grade") == top)), model, ["weight"]).groupBy("p_top").agg(F.sum("weight").alias("weight"))
+    return model._replace(least=_least(materialize(others, "probabilities"), CLEAN_LOSS, model.least))
+
+
+def _least(table: DataFrame, share: float, default: float) -> float:
+    """``_quantile`` of a stored table (p_top, weight), of which ``MOST_VALUES`` rows at most come to the driver."""
+    total = table.agg(F.sum("weight")).first()[0]
+    low, high, before = 0.0, 1.0, 0
+    while (inside := table.where(F.col("p_top").between(low, high))).count() > MOST_VALUES:
+        span = F.least(F.floor((F.col("p_top") - low) / (high - low) * 4096), F.lit(4095))
+        run = before
+        for r in sorted(inside.groupBy(span.alias("span")).agg(F.min("p_top").alias("low"), F.max("p_top").alias("high"), F.sum("weight").alias("weight")).collect()):
+            if run <= share * total:
+                low, high, before = r["low"], r["high"], run
+            run += r["weight"]
+    rows = inside.toArrow()
+    return _quantile(rows.column("p_top").to_numpy(), rows.column("weight").to_numpy(), share, default, before, total)
+
+
+def _quantile(values: np.ndarray, counts: np.ndarray, share: float, default: float, before: int = 0, total: int | None = None) -> float:
+    """The largest value with at most ``share`` of all below it; of ``total`` there are ``before`` below the values."""
     if not len(values):
         return default
     order = np.argsort(values, kind="stable")
-    below = np.cumsum(counts[order]) - counts[order]
-    return float(values[order][below <= share * counts.sum()].max())
+    below = before + np.cumsum(counts[order]) - counts[order]
+    return float(values[order][below <= share * (counts.sum() if total is None else total)].max())
 
 
 def _above(score: np.ndarray, cuts: np.ndarray) -> np.ndarray:

@@ -266,6 +266,38 @@ def test_quality_sample_is_bounded(monkeypatch, spark):
     assert len(seen[1][0]) < len(seen[0][0]) / 2
 
 
+def test_quality_learns_from_all_ratings(monkeypatch, spark):
+    """The start has no rating of the words that mark a grade, and the threshold is that of all ratings which are not fitted."""
+    monkeypatch.setattr(quality, "RATED", 40)
+    monkeypatch.setattr(quality, "CALIBRATED", 10)
+    monkeypatch.setattr(quality, "MOST_VALUES", 7)
+    dice, plain = np.random.default_rng(5), "the river runs by the old town and its mill"
+    start = {r["id"] for r in spark.range(2000).where(F.pmod(F.xxhash64("id", F.lit("quality")), F.lit(1 << 30)) / float(1 << 30) < 0.02).collect()}
+    rows = [(i, f"{plain} {'moron' if bad and i not in start else ''} {dice.integers(500)}", 0 if bad else 1) for i, bad in enumerate((dice.random(2000) < 0.2).tolist())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, grade int").repartition(3)
+    model = quality.train(docs.select("doc_id", "text"), docs.select("doc_id", "grade"))
+    top = 1 / (1 + np.exp(model.cuts[-1] - quality.scores(pa.array([plain, f"{plain} moron"]), model.weights)))
+    assert 0 < len(start) < 100 and top[0] > 0.9 and top[1] < 0.1
+    place = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("quality")), F.lit(1 << 30)) / float(1 << 30)
+    held = sorted(r["p_top"] for r in quality.graded(docs.where((F.col("grade") == 1) & (place >= 0.8)), model, ["doc_id"]).collect())
+    assert len(held) > 200 and model.least == held[int(quality.CLEAN_LOSS * len(held))]
+
+
+def test_quality_sums_are_the_same_in_any_order(spark):
+    """Loss and gradient over all rows are those of ``slopes``, whatever the partitions."""
+    texts = [f"{a} {b} w{a * b % 13}" for a in range(20) for b in range(15)]
+    grades = [i * 7 % 3 for i in range(len(texts))]
+    table = spark.createDataFrame(sparse(texts, grades).to_pandas())
+    theta = np.concatenate([np.random.default_rng(1).normal(size=(2 << quality.BITS) + 1), [-0.5, 0.3]])
+    value, gradient = quality._objective(table.repartition(3))(theta)
+    again = quality._objective(table.orderBy(F.rand(2)).repartition(2))(theta)
+    assert value == again[0] and (gradient == again[1]).all()
+    for i in (int(np.abs(gradient[:-2]).argmax()), len(theta) - 2, len(theta) - 1):
+        moved = theta.copy()
+        moved[i] += 1e-3
+        assert (quality._objective(table)(moved)[0] - value) / 1e-3 == pytest.approx(gradient[i], abs=2e-3)
+
+
 def test_quality_without_ratings(spark, edge_docs):
     model = quality.train(edge_docs, spark.createDataFrame([(4, None), (None, 1)], "doc_id long, grade int"))
     assert quality.selected(edge_docs, model, 0.5).count() == edge_docs.count()
