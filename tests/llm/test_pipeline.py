@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cubeframe.llm import queries
+from cubeframe.llm import quality, queries
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -41,6 +41,18 @@ def test_quality_keeps_clean_documents(spark, sf, stages):
     assert labels.where("quality = 0").join(kept, "doc_id").count() <= 0.1 * labels.where("quality = 0").count()
 
 
+def test_quality_stage_learns_from_all_ratings(spark, tmp_path, monkeypatch):
+    """A word that only ratings beyond the start's have takes its documents out."""
+    monkeypatch.setattr(quality, "RATED", 40)
+    monkeypatch.setattr(quality, "CALIBRATED", 10)
+    place = F.pmod(F.xxhash64("doc_id", F.lit("quality")), F.lit(1 << 30)) / float(1 << 30)
+    docs = spark.range(1500).withColumnRenamed("id", "doc_id").withColumn("bad", (F.col("doc_id") % 5 == 0) & (place >= 0.1))
+    docs = docs.withColumn("text", F.concat(F.lit("the river runs by the old town "), F.when(F.col("bad"), "moron ").otherwise(""), F.pmod(F.xxhash64("doc_id"), F.lit(97)).cast("string"))).withColumn("lang", F.lit("en")).withColumn("source", F.lit("a")).withColumn("n_chars", F.length("text").cast("long"))
+    docs.select("doc_id", (~F.col("bad")).cast("int").alias("quality"), F.lit(0).alias("toxic")).write.parquet(f"{tmp_path}/labels.parquet")
+    left = corpus_pipeline.quality_stage(spark, docs.repartition(3, "doc_id"), str(tmp_path))
+    assert left.where("bad").count() == 0 and left.count() >= 0.95 * docs.where("NOT bad").count()
+
+
 def test_duplicates_go(stages):
     before, exact, near = (dict(d.select("doc_id", "text").collect()) for _, d in stages[:3])
     bare = lambda t: re.sub(r"[\x20\x09-\x0D]", "", t)
