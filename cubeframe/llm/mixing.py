@@ -9,7 +9,8 @@ row of output shards of slots, a block each:
    draws the counts of runs of shards (``MOST_PLANNED`` numbers at most, beside a run's), and a run's task, from its own seed, those of its shards.
 3. A source's j-th slot takes the block at place ``j % blocks`` of a pseudorandom permutation of its blocks, another
    permutation for each pass over them. So a block is used at most ``CAP`` times, and use is even.
-4. Slots join the blocks by (source, index).
+4. Slots join the blocks by (source, index). A few rows make all slots, and a document many blocks, so Spark takes tables of either for small
+   ones: their joins are told to shuffle (``SHUFFLED``), else they would be broadcast, by way of the driver.
 
 A document's place among its source's words needs no sequential pass: sizes are summed per (source, hash bucket
 of the id), the sums run up per source, and a window numbers the words within a bucket.
@@ -43,6 +44,8 @@ LEAST_SHARDS = 8
 MOST_PLANNED = 1 << 20
 #: Rows per bucket aimed at, and the range of the number of buckets.
 BUCKET_ROWS, LEAST_BUCKETS, MOST_BUCKETS = 4096, 16, 65536
+#: The hint of joins that nothing may be broadcast for.
+SHUFFLED = "merge"
 #: Words (a fixed pattern): runs of other characters than space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -189,7 +192,7 @@ def mixture(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = CA
 
 def _used(documents: DataFrame, pieces: DataFrame, slots: DataFrame) -> DataFrame:
     uses = slots.groupBy("number", "block").agg(F.count(F.lit(1)).alias("uses"))
-    return pieces.join(uses, ["number", "block"], "left").withColumn("uses", F.coalesce("uses", F.lit(0)))
+    return pieces.hint(SHUFFLED).join(uses, ["number", "block"], "left").withColumn("uses", F.coalesce("uses", F.lit(0)))
 
 
 def mix(docs: DataFrame, ident: str = "doc_id", **options) -> DataFrame:
@@ -245,13 +248,13 @@ def mixed_documents(docs: DataFrame, ident: str = "doc_id", text: str = "text",
     n = repeated.count()
     columns = [*docs.columns, "_cf_takes"]
     if not n:
-        joined = docs.join(takes.select(F.col("id").alias("_cf_id"), "_cf_takes"), F.col(ident) == F.col("_cf_id")).select(columns)
+        joined = docs.join(takes.select(F.col("id").alias("_cf_id"), "_cf_takes").hint(SHUFFLED), F.col(ident) == F.col("_cf_id")).select(columns)
     else:
         several = F.broadcast(repeated) if n <= BROADCAST_IDS else repeated
         same = F.col(ident).eqNullSafe(F.col("_cf_id"))
         own = takes.select(F.col("id").alias("_cf_id"), "number", "first", "_cf_takes")
-        once = docs.join(several, same, "left_anti").join(own, F.col(ident) == F.col("_cf_id")).select(columns)
+        once = docs.join(several, same, "left_anti").join(own.hint(SHUFFLED), F.col(ident) == F.col("_cf_id")).select(columns)
         placed = own.withColumn("_cf_place", F.row_number().over(Window.partitionBy("_cf_id").orderBy("number", "first"))).withColumnRenamed("_cf_place", "_cf_own")
         more = docs.join(several, same, "left_semi").withColumn("_cf_place", F.row_number().over(Window.partitionBy(ident).orderBy(F.col(source).asc_nulls_last(), F.regexp_count(F.col(text), F.lit(WORD)))))
-        joined = once.unionByName(more.join(placed, same & (F.col("_cf_place") == F.col("_cf_own"))).select(columns))
+        joined = once.unionByName(more.join(placed.hint(SHUFFLED), same & (F.col("_cf_place") == F.col("_cf_own"))).select(columns))
     return joined.mapInArrow(_text.frugal(_rebuild(docs.columns, ident, text)), docs.schema)

@@ -68,6 +68,14 @@ def test_duplicates_go(stages):
     assert gone == {b for _, b in alike if any(b == y for _, y in alike)}
 
 
+def test_mixing_broadcasts_no_blocks(spark, sf, stages):
+    """Spark takes the slots and the pieces for small tables, which they are here but not on many documents: none may pass through the driver."""
+    run = corpus_pipeline.mixing_stage(spark, stages[2][1], sf)._jdf.queryExecution()
+    assert run.executedPlan().execute().count() == stages[3][1].count()
+    first_and_last = run.executedPlan().toString()
+    assert first_and_last.count("SortMergeJoin") == 4 and "Broadcast" not in first_and_last
+
+
 def test_packing_holds_all_tokens(stages):
     pieces = stages[4][1]
     assert pieces.where("start = 0").count() == stages[3][1].count()
