@@ -8,7 +8,8 @@ probability that selection asks for: ``CLEAN_LOSS`` of those with the top grade
 
 The fit has two steps. On the driver, Adam in batches finds where to start, from about ``RATED`` ratings and ``RATED_FEATURES`` features, whatever the
 number and the length of the texts; of an id's ratings equal ones are one row with a weight, and so are equal texts of a grade. If that
-was not all there is, L-BFGS goes on from there with the loss and the gradient of all fitted ratings: their features are stored once, each of at most ``PASSES`` passes sums
+was not all there is, the model is the minimum of the loss of all fitted ratings, weights decayed by ``DECAY``. The loss is convex in weights and thresholds, so it has one minimum, and the start
+only shortens the way: L-BFGS, scaled by the loss's curvatures, goes on until ``NEAR`` it. The ratings' features are stored once, each of at most ``PASSES`` passes sums
 over them in at most ``SUMS`` tasks, and a sum per task (of fixed size) comes to the driver. Terms are rounded to multiples of ``GRID``, so that sums
 are the same in any order. Scoring is a lookup per word and trigram, with the weights broadcast (fixed size).
 
@@ -41,8 +42,12 @@ FITTED = 0.8
 RATED, CALIBRATED = 12000, 4000
 #: Features of the texts that the fit starts from, on average (6 bytes each; a text has at most twice ``1 << BITS`` and one).
 RATED_FEATURES = 16 << 20
-#: Passes over all fitted ratings, the tasks of a pass (2 MB each come to the driver), and the steps that L-BFGS remembers.
-PASSES, SUMS, MEMORY = 30, 16, 8
+#: Passes over all fitted ratings at most, the tasks of a pass (2 MB each come to the driver, 4 MB with curvatures), and the steps that L-BFGS remembers (2 MB each).
+PASSES, SUMS, MEMORY = 300, 16, 40
+#: L-BFGS ends where the squared gradient over the curvatures, about twice what the loss is above its minimum, is at most this; curvatures are taken at the start and after these passes.
+NEAR, CURVED = 1e-6, (20, 50, 100, 200)
+#: The threshold below a lowest grade, and the width of another, of which there are no ratings.
+LOWEST, NARROW = -30.0, 1e-3
 #: What the terms of a pass are rounded to: sums below 2**21 are exact.
 GRID = 2.0**-32
 #: Ratings are broadcast up to this many (some 20 MB); beyond it the join with the texts shuffles.
@@ -132,6 +137,13 @@ def _row_slopes(score: np.ndarray, cuts: np.ndarray, grades: np.ndarray) -> tupl
     return likely, by_high - by_low, by_cut
 
 
+def _row_curvatures(score: np.ndarray, cuts: np.ndarray, grades: np.ndarray) -> np.ndarray:
+    """Each row's second derivative of the likelihood's negative logarithm by the score."""
+    above = 1 / (1 + np.exp(-np.clip(score[:, None] - np.concatenate([[-40.0], cuts, [40.0]])[None, :], -40, 40)))
+    slope, own = above * (1 - above), np.arange(len(score))
+    return slope[own, grades] + slope[own, grades + 1]
+
+
 def slopes(score: np.ndarray, cuts: np.ndarray, grades: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The derivatives of the negative log-likelihood, to which row i adds by part[i], by the rows' scores and by the thresholds."""
     _, by_score, by_cut = _row_slopes(score, cuts, grades)
@@ -170,76 +182,90 @@ def fit(grades: np.ndarray, bounds: np.ndarray, at: np.ndarray, values: np.ndarr
 
 
 def _total(shared: Broadcast):
-    """A task's sums over its rows of ``_sparse``: the count, the loss, and its derivatives by the thresholds and by the weights."""
+    """A task's sums over its rows of ``_sparse``: the count, the loss, its derivatives by the first threshold, the gaps and the weights, and, if asked for, its curvatures by them."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, cuts = shared.value
-        count, loss, by_cuts, by_weights = 0, 0.0, np.zeros(len(cuts)), np.zeros(len(weights))
+        weights, cuts, curved = shared.value
+        count, loss, by_cuts, by_weights = 0, 0.0, np.zeros((1 + curved, len(cuts))), np.zeros((1 + curved, len(weights)))
         for batch in batches:
             if not batch.num_rows:
                 continue
             rows_at = batch.column(3).to_pylist()
-            bounds = np.cumsum([0, *[len(x) // 4 for x in rows_at]])
-            at, values = np.frombuffer(b"".join(rows_at), "<i4"), np.frombuffer(b"".join(batch.column(4).to_pylist()), "<f2").astype(np.float64)
+            sizes = np.array([len(x) // 4 for x in rows_at])
+            at, values = np.frombuffer(b"".join(rows_at), "<i4").astype(np.intp), np.frombuffer(b"".join(batch.column(4).to_pylist()), "<f2").astype(np.float64)
             grades, part = batch.column(1).to_numpy(), batch.column(2).to_numpy().astype(np.float64)
-            likely, by_score, by_cut = _row_slopes(np.add.reduceat(weights[at] * values, bounds[:-1]), cuts, grades)
-            values *= np.repeat(by_score * part, np.diff(bounds))
-            by_weights += np.bincount(at, np.rint(values / GRID) * GRID, len(weights))
-            by_cuts += (np.rint(by_cut * part / GRID) * GRID).sum(axis=1)
+            score = np.add.reduceat(weights[at] * values, np.cumsum(sizes) - sizes)
+            likely, by_score, by_cut = _row_slopes(score, cuts, grades)
+            by_cut = np.cumsum(by_cut[::-1], axis=0)[::-1]
+            for i in range(1 + curved):
+                row = by_score if i == 0 else _row_curvatures(score, cuts, grades)
+                by_weights[i] += np.bincount(at, np.rint(values ** (i + 1) * np.repeat(row * part / GRID, sizes)), len(weights)) * GRID
+                by_cuts[i] += (np.rint(by_cut ** (i + 1) * part / GRID) * GRID).sum(axis=1)
             loss -= (np.rint(np.log(likely) * part * 2**20) / 2**20).sum()
             count += int(part.sum())
-        yield pa.record_batch([pa.array([np.concatenate([[count, loss], by_cuts, by_weights]).tobytes()], pa.binary())], names=["sums"])
+        yield pa.record_batch([pa.array([np.concatenate([[count, loss], *by_weights, *by_cuts]).tobytes()], pa.binary())], names=["sums"])
 
     return work
 
 
-def _objective(table: DataFrame):
-    """The function of weights and thresholds (the first, and the logarithms of the gaps) that ``fit`` makes small, over all rows of the stored table: its value and gradient."""
+def _objective(table: DataFrame, fixed: np.ndarray | None = None):
+    """The function of weights and thresholds (the first, and the gaps) that ``fit`` makes small, over all rows of the stored table: its value and gradient, and its curvatures if asked for.
+
+    ``fixed`` are the places of the thresholds whose derivative is taken as 0.
+    """
     spark, size = table.sparkSession, (2 << BITS) + 1
     rows = table.coalesce(max(1, min(SUMS, spark.sparkContext.defaultParallelism)))
 
-    def at(theta: np.ndarray) -> tuple[float, np.ndarray]:
-        weights, cuts = theta[:size], np.cumsum(np.concatenate([theta[size : size + 1], np.exp(theta[size + 1 :])]))
-        shared = spark.sparkContext.broadcast((weights, cuts))
+    def at(theta: np.ndarray, curved: bool = False) -> tuple:
+        weights, cuts = theta[:size], np.cumsum(theta[size:])
+        if not (np.diff(cuts) > 0).all():
+            return np.inf, np.zeros_like(theta)
+        shared = spark.sparkContext.broadcast((weights, cuts, int(curved)))
         parts = rows.mapInArrow(_text.frugal(_total(shared)), "sums binary").toArrow().column("sums")  # SUMS rows at most
         shared.destroy()
         total = np.sum([np.frombuffer(x.as_buffer(), "<f8") for x in parts], axis=0)
-        loss, by_cut, by_weight = total[1] / total[0], total[2 : 2 + len(cuts)] / total[0], total[2 + len(cuts) :] / total[0]
-        tail = np.cumsum(by_cut[::-1])[::-1]
-        return loss + DECAY / 2 * float(weights @ weights), np.concatenate([by_weight + DECAY * weights, tail[:1], tail[1:] * np.exp(theta[size + 1 :])])
+        by_weights, by_cuts = total[2 : 2 + (1 + curved) * size].reshape(-1, size) / total[0], total[2 + (1 + curved) * size :].reshape(-1, len(cuts)) / total[0]
+        if fixed is not None:
+            by_cuts[0, fixed] = 0
+        out = total[1] / total[0] + DECAY / 2 * float(weights @ weights), np.concatenate([by_weights[0] + DECAY * weights, by_cuts[0]])
+        return (*out, np.concatenate([by_weights[1] + DECAY, np.maximum(by_cuts[1], 1e-6)])) if curved else out
 
     return at
 
 
 def descend(objective, theta: np.ndarray, passes: int) -> np.ndarray:
-    """L-BFGS from theta with at most so many calls of the objective; the best point found."""
-    value, gradient = objective(theta)
+    """L-BFGS from theta, scaled by curvatures, with at most so many calls of the objective; the best point found."""
+    value, gradient, curvature = objective(theta, True)
     steps: list[tuple[np.ndarray, np.ndarray, float]] = []
-    passes -= 1
-    while passes > 0 and np.abs(gradient).max() > 1e-7:
+    used, curved = 1, [x for x in CURVED if x < passes - 1]
+    while used < passes and float(gradient @ (gradient / curvature)) > NEAR:
+        if curved and used >= curved[0]:
+            curved.pop(0)
+            curvature = objective(theta, True)[2]
+            used += 1
         way, factors = -gradient, []
         for s, y, r in reversed(steps):
-            factors.append(r * float(s @ way))
+            factors.append(r * float(way @ s))
             way -= factors[-1] * y
         if steps:
             s, y, r = steps[-1]
-            way *= 1 / (r * float(y @ y))
+            way /= curvature * (r * float(y @ (y / curvature)))
         else:
-            way /= max(1.0, float(np.abs(gradient).sum()))
+            way /= curvature * max(1.0, float(np.sqrt(gradient @ (gradient / curvature))))
         for (s, y, r), f in zip(steps, reversed(factors), strict=True):
-            way += s * (f - r * float(y @ way))
+            way += s * (f - r * float(way @ y))
         slope, length, found = float(gradient @ way), 1.0, False
-        while passes > 0 and not found:
+        while used < passes and not found:
             other = theta + length * way
             other_value, other_gradient = objective(other)
-            passes -= 1
+            used += 1
             found = other_value <= value + 1e-4 * length * slope
             length /= 4
         if not found:
             break
-        s, y = other - theta, other_gradient - gradient
-        if float(s @ y) > 1e-12:
-            steps = [*steps[1 - MEMORY :], (s, y, 1 / float(s @ y))]
+        s, y = (other - theta).astype(np.float32), (other_gradient - gradient).astype(np.float32)
+        if (product := float(s.astype(float) @ y)) > 0:
+            steps = [*steps[1 - MEMORY :], (s, y, 1 / product)]
         theta, value, gradient = other, other_value, other_gradient
     return theta
 
@@ -283,17 +309,22 @@ def train(docs: DataFrame, ratings: DataFrame, ident: str = "doc_id", text: str
     grades, counts, bounds, at, values = _arrays(table)
     del table
     fitted = rated.where(F.col("place") < FITTED)
-    facts = fitted.agg(F.countDistinct("grade"), F.max("grade")).first()
-    if facts[0] < 2:
+    found = fitted.agg(F.collect_set("grade")).first()[0]
+    if len(found) < 2:
         return Model(np.zeros((2 << BITS) + 1), np.zeros(0), 0.0)
-    top = int(facts[1])
+    top = max(found)
     weights, cuts = fit(grades, bounds, at, values, top, counts) if len(grades) else (np.zeros((2 << BITS) + 1), np.arange(top, dtype=float))
     del at, values
     _text.release()
     if start < FITTED or share < 1:
         rows = materialize(fitted.select("key", "grade", "weight", "text").mapInArrow(_text.frugal(_sparse), types), "features")
-        theta = descend(_objective(rows), np.concatenate([weights, cuts[:1], np.log(np.diff(cuts))]), PASSES)
-        weights, cuts = theta[: len(weights)], np.cumsum(np.concatenate([theta[len(weights) : len(weights) + 1], np.exp(theta[len(weights) + 1 :])]))
+        # Without ratings of a grade the loss has no minimum in its width, so the thresholds below the lowest grade, and the others' width, are set.
+        fixed = np.setdiff1d(np.arange(top), found)
+        cuts = np.concatenate([np.full(min(found), LOWEST), cuts[min(found) :]])
+        gaps = np.maximum(np.diff(cuts), 0.1)
+        gaps[fixed[fixed > 0] - 1] = NARROW
+        theta = descend(_objective(rows, fixed), np.concatenate([weights, cuts[:1], gaps]), PASSES)
+        weights, cuts = theta[: len(weights)], np.cumsum(theta[len(weights) :])
         _text.release()
     model = Model(weights, cuts, 0.5)
     others = graded(rated.where((F.col("place") >= FITTED) & (F.col("grade") == top)), model, ["weight"]).groupBy("p_top").agg(F.sum("weight").alias("weight"))

@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -53,6 +54,27 @@ def test_quality_stage_learns_from_all_ratings(spark, tmp_path, monkeypatch):
     assert left.where("bad").count() == 0 and left.count() >= 0.95 * docs.where("NOT bad").count()
 
 
+def test_quality_stage_does_not_depend_on_the_start(spark, tmp_path, monkeypatch):
+    """The model is that of all ratings, wherever the fit begins, also with a grade that no rating has."""
+    monkeypatch.setattr(quality, "RATED", 40)
+    monkeypatch.setattr(quality, "CALIBRATED", 10)
+    dice, models, left = np.random.default_rng(9), [], []
+    rows = []
+    for i in range(1200):
+        words = dice.integers(60, size=12)
+        rows.append((i, " ".join(f"w{w}" for w in words), "en", "a", int((words < 12).sum() + dice.normal() < 2.5)))
+    rows = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, quality int").withColumn("n_chars", F.length("text").cast("long"))
+    rows.select("doc_id", "quality", F.lit(0).alias("toxic")).write.parquet(f"{tmp_path}/labels.parquet")
+    docs, train = rows.select(COLUMNS).repartition(3, "doc_id"), quality.train
+    monkeypatch.setattr(quality, "train", lambda *a: models.append(train(*a)) or models[-1])
+    for start in (quality.fit, lambda *a: (dice.normal(size=(2 << quality.BITS) + 1), np.arange(a[4], dtype=float))):
+        monkeypatch.setattr(quality, "fit", start)
+        left.append({r["doc_id"] for r in corpus_pipeline.quality_stage(spark, docs, str(tmp_path)).collect()})
+    one, other = (np.array([r["p_top"] for r in quality.graded(docs, m, ["doc_id"]).orderBy("doc_id").collect()]) for m in models)
+    assert np.abs(one - other).max() < 0.02 and np.ptp(one) > 0.5 and abs(models[0].least - models[1].least) < 0.02
+    assert len(left[0] ^ left[1]) <= 3 and 300 < len(left[0]) < 1200
+
+
 def test_duplicates_go(stages):
     before, exact, near = (dict(d.select("doc_id", "text").collect()) for _, d in stages[:3])
     bare = lambda t: re.sub(r"[\x20\x09-\x0D]", "", t)
