@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import arrays, index, registry, signal, stats
@@ -34,8 +34,15 @@ def order_lines(spark: SparkSession, sf_dir: str, value: str = "l_extendedprice"
 
 
 def hour_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The long table user, hour, value: sums of events."""
-    return _table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("user"), F.hour("ts").alias("hour")).agg(F.sum("value").alias("value"))
+    """The long table user, hour, value: sums of events.
+
+    Values are added one by one in the order of the events, as a sum of doubles depends on it and a cut like ``floor`` shows its last bit; so the
+    files and partitions that events lie in don't matter. The last running sum of a cell is its sum (sorted on disk if need be, never gathered).
+    """
+    events = _table(spark, sf_dir, "events").select(F.col("user_id").alias("user"), F.hour("ts").alias("hour"), "event_id", "value")
+    own = Window.partitionBy("user", "hour").orderBy("event_id", "value")
+    sums = F.sum("value").over(own.rowsBetween(Window.unboundedPreceding, 0))
+    return events.select("user", "hour", sums.alias("value"), F.lead(F.lit(1)).over(own).alias("_cf_next")).where("_cf_next IS NULL").drop("_cf_next")
 
 
 def user_hours(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cubeframe import catalog_of_queries as catalog
 
@@ -33,3 +34,15 @@ def test_query(spark, data, duck, name):
 def test_without_sql(spark, data):
     for name in set(catalog.QUERIES) - set(catalog.ORACLE):
         assert catalog.QUERIES[name](spark, data).head(1)
+
+
+def test_dump_of_scattered_events(spark, tmp_path):
+    """The text of floors is that of sums in the order of the events, whatever files these lie in (0.2 + 0.7 + 0.1 is below 1, 0.1 + 0.7 + 0.2 is 1)."""
+    values = [0.2, 0.7, 0.1]
+    rows = [(3 * user + i, user, v) for user in range(20) for i, v in enumerate(values)]
+    events = spark.createDataFrame(rows, "event_id long, user_id long, value double").withColumn("ts", F.lit("2024-01-01 05:00:00").cast("timestamp"))
+    assert int(0.2 + 0.7 + 0.1) == 0 and int(0.1 + 0.7 + 0.2) == 1
+    for name, order in (("up", F.col("event_id")), ("down", F.col("event_id").desc())):
+        events.coalesce(1).sortWithinPartitions(order).write.parquet(f"{tmp_path}/{name}/events.parquet")
+        found = catalog.QUERIES["array_dump"](spark, f"{tmp_path}/{name}").collect()
+        assert len(found) == 20 and {r["v"].split(", ")[5] for r in found} == {"0"}
