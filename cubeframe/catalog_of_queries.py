@@ -50,7 +50,8 @@ def user_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def exploded(rows: DataFrame, measure: Column | str = "measure") -> DataFrame:
-    return rows.select("id_dim", F.posexplode(measure).alias("pos", "v")).select("id_dim", F.col("pos").cast("long").alias("pos"), (F.round(F.col("v").cast("double"), DIGITS) + 0.0).alias("v"))
+    """A row per element. Rows without any are left out after the explosion: for an inner one Spark would ask for the size of the cells below it, and so compute them twice."""
+    return rows.select("id_dim", F.posexplode_outer(measure).alias("pos", "v")).where("pos IS NOT NULL").select("id_dim", F.col("pos").cast("long").alias("pos"), (F.round(F.col("v").cast("double"), DIGITS) + 0.0).alias("v"))
 
 
 _EMB = "SELECT vec_id + 1 AS id_dim, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS m FROM embeddings"

@@ -1,62 +1,82 @@
 """Transforms of array cells that Spark's functions can't express: numpy over Arrow batches.
 
-Cells of equal length in a batch are worked on as one matrix.
+Cells of equal length in a batch are worked on as one matrix, cut into runs of bounded size; no cell becomes a Python object.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..workers import reachable
+from ..workers import release, ship
 
 COMPLEX = "array<struct<re:double,im:double>>"
+#: Elements that ``work`` gets at once (a longer cell goes alone).
+MOST_ELEMENTS = 1 << 17
 
 
-def _by_length(cells: pd.Series, work: Callable[[np.ndarray], np.ndarray]) -> pd.Series:
-    """``work`` on the matrix of all cells of a length; null cells stay null."""
-    out: list = [None] * len(cells)
-    sizes = cells.map(lambda c: -1 if c is None else len(c)).to_numpy()
-    for size in np.unique(sizes[sizes >= 0]):
+def _doubles(values: pa.Array) -> np.ndarray:
+    """Elements as doubles, null as NaN."""
+    return values.cast(pa.float64()).to_numpy(zero_copy_only=False)
+
+
+def _by_length(cells: pa.Array, values: np.ndarray, work: Callable[[np.ndarray], np.ndarray], form: Callable[[np.ndarray], pa.Array] = pa.array) -> pa.Array:
+    """``work`` on the matrices of cells of a length, whose elements are ``values``, and ``form`` of all results; null cells stay null, empty ones empty."""
+    offsets, null = cells.offsets.to_numpy(), cells.is_null().to_numpy(zero_copy_only=False)
+    sizes = np.where(null, 0, np.diff(offsets))
+    done, lengths = [], np.zeros(len(cells), np.int64)
+    for size in np.unique(sizes[sizes > 0]):
         at = np.flatnonzero(sizes == size)
-        if not size:
-            results = [np.zeros(0)] * len(at)
-        else:
-            results = work(np.array([np.asarray(cells.iloc[i], float) for i in at]))
-        for i, r in zip(at, results, strict=True):
-            out[i] = r
-    return pd.Series(out, dtype=object)
+        step = max(1, MOST_ELEMENTS // int(size))
+        for rows in np.split(at, range(step, len(at), step)):
+            results = work(values[offsets[rows][:, None] + np.arange(size)])
+            lengths[rows] = results.shape[1]
+            done.append((rows, results))
+    ends = np.concatenate([[0], np.cumsum(lengths)])
+    flat = np.empty(ends[-1], done[0][1].dtype if done else float)
+    for rows, results in done:
+        flat[ends[rows][:, None] + np.arange(results.shape[1])] = results
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), form(flat), mask=pa.array(null))
+
+
+def _udf(kind: str, work: Callable[[pa.Array], pa.Array]) -> Callable[[Column], Column]:
+    """``work`` on the cells of a batch, as a function of columns."""
+    ship()
+
+    @F.arrow_udf(kind)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        try:
+            for cells in batches:
+                yield work(cells)
+        finally:
+            release()
+
+    return run
 
 
 def fft(m: Column) -> Column:
     """The discrete Fourier transform of real cells, as complex cells."""
-    reachable()
 
-    @F.pandas_udf("re array<double>, im array<double>")
-    def run(cells: pd.Series) -> pd.DataFrame:
-        z = _by_length(cells, lambda x: np.fft.fft(x, axis=1))
-        return pd.DataFrame({name: pd.Series([None if v is None else getattr(v, part) for v in z], dtype=object) for name, part in (("re", "real"), ("im", "imag"))})
+    def form(z: np.ndarray) -> pa.Array:
+        return pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(x)) for x in (z.real, z.imag)], ["re", "im"])
 
-    z = run(m)
-    return F.zip_with(z["re"], z["im"], lambda a, b: F.struct(a.alias("re"), b.alias("im")))
+    return _udf(COMPLEX, lambda cells: _by_length(cells, _doubles(cells.values), lambda x: np.fft.fft(x, axis=1), form))(m)
 
 
 def ifft(m: Column) -> Column:
     """The real part of the inverse transform of complex cells."""
-    reachable()
 
-    @F.pandas_udf("array<double>")
-    def run(re: pd.Series, im: pd.Series) -> pd.Series:
-        out = []
-        for a, b in zip(re, im, strict=True):
-            out.append(None if a is None else np.fft.ifft(np.asarray(a, float) + 1j * np.asarray(b, float)).real if len(a) else np.zeros(0))
-        return pd.Series(out)
+    def work(cells: pa.Array) -> pa.Array:
+        z = np.empty(len(cells.values), complex)
+        z.real, z.imag = (_doubles(pc.struct_field(cells.values, name)) for name in ("re", "im"))
+        return _by_length(cells, z, lambda x: np.fft.ifft(x, axis=1).real)
 
-    return run(F.transform(m, lambda z: z["re"]), F.transform(m, lambda z: z["im"]))
+    return _udf("array<double>", work)(m)
 
 
 def _haar(x: np.ndarray) -> np.ndarray:
@@ -82,13 +102,7 @@ def _haar_back(x: np.ndarray) -> np.ndarray:
 
 
 def _plain(work: Callable[[np.ndarray], np.ndarray]) -> Callable[[Column], Column]:
-    reachable()
-
-    @F.pandas_udf("array<double>")
-    def run(cells: pd.Series) -> pd.Series:
-        return _by_length(cells, work)
-
-    return run
+    return _udf("array<double>", lambda cells: _by_length(cells, _doubles(cells.values), work))
 
 
 def dwt(m: Column) -> Column:

@@ -1,6 +1,8 @@
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -125,3 +127,34 @@ def test_registry_has_all_primitives():
     assert registry.resolve("mysql.abc_reduce").name == "reduce"
     with pytest.raises(ValueError):
         registry.resolve("nothing")
+
+
+def test_signal_work_runs_once_in_bounded_batches(spark):
+    """Transforms get batches of some megabytes, and an exploded one is computed once, not again for a filter below it."""
+    from cubeframe import catalog_of_queries as catalog
+
+    rows = spark.range(3000).select((F.col("id") + 1).alias("id_dim"), F.transform(F.sequence(F.lit(1), F.lit(2048)), lambda i: (i * 1.5 + F.col("id"))).alias("measure")).coalesce(1)
+
+    @F.arrow_udf("array<long>")
+    def seen(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for b in batches:
+            yield pa.array([[len(b)]] * len(b), pa.list_(pa.int64()))
+
+    for name in ("gsl_fft", "gsl_ifft", "gsl_dwt", "gsl_idwt", "gsl_spline", "ccluster_kcluster"):
+        work = catalog.SIGNAL_CASES[name](F.col("measure"))
+        plan = catalog.exploded(rows.select("id_dim", work.alias("measure")))._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("ArrowEvalPython") == 1
+    assert rows.select(F.explode(seen("measure")).alias("n")).agg(F.max("n")).first()[0] <= 512
+
+
+def test_signals_of_odd_cells(spark):
+    """Null, empty and ragged cells, and null elements, in one batch."""
+    cells = [None, [], [1.0, 2.0, 3.0], [4.0], [None, 1.0], [5.0, 6.0, 7.0], [0.0, -1.0, 2.0, 8.0]]
+    rows = spark.createDataFrame(list(enumerate(cells)), "k int, m array<double>").coalesce(1)
+    got = {r["k"]: r for r in rows.select("k", signal.fft(F.col("m")).alias("z"), signal.ifft(signal.fft(F.col("m"))).alias("b"), signal.spline(F.col("m"), 5).alias("s")).collect()}
+    assert all(got[0][c] is None for c in "zbs") and all(got[1][c] == [] for c in "zbs")
+    for k, cell in enumerate(cells):
+        if cell:
+            x = np.array(cell, float)
+            assert np.allclose([complex(v["re"], v["im"]) for v in got[k]["z"]], np.fft.fft(x), equal_nan=True)
+            assert np.allclose(got[k]["b"], np.fft.ifft(np.fft.fft(x)).real, equal_nan=True) and len(got[k]["s"]) == 5
