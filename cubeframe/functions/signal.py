@@ -25,7 +25,12 @@ def _doubles(values: pa.Array) -> np.ndarray:
     return values.cast(pa.float64()).to_numpy(zero_copy_only=False)
 
 
-def _by_length(cells: pa.Array, values: np.ndarray, work: Callable[[np.ndarray], np.ndarray], form: Callable[[np.ndarray], pa.Array] = pa.array) -> pa.Array:
+def _elements(x: np.ndarray) -> pa.Array:
+    """Doubles as elements, NaN as null."""
+    return pa.array(np.ascontiguousarray(x), from_pandas=True)
+
+
+def _by_length(cells: pa.Array, values: np.ndarray, work: Callable[[np.ndarray], np.ndarray], form: Callable[[np.ndarray], pa.Array] = _elements) -> pa.Array:
     """``work`` on the matrices of cells of a length, whose elements are ``values``, and ``form`` of all results; null cells stay null, empty ones empty."""
     offsets, null = cells.offsets.to_numpy(), cells.is_null().to_numpy(zero_copy_only=False)
     sizes = np.where(null, 0, np.diff(offsets))
@@ -63,7 +68,7 @@ def fft(m: Column) -> Column:
     """The discrete Fourier transform of real cells, as complex cells."""
 
     def form(z: np.ndarray) -> pa.Array:
-        return pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(x)) for x in (z.real, z.imag)], ["re", "im"])
+        return pa.StructArray.from_arrays([_elements(z.real), _elements(z.imag)], ["re", "im"])
 
     return _udf(COMPLEX, lambda cells: _by_length(cells, _doubles(cells.values), lambda x: np.fft.fft(x, axis=1), form))(m)
 
