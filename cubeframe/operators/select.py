@@ -5,6 +5,7 @@ The limit comes before grouping and ordering, as this engine defines it; ``top_k
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,32 +41,40 @@ def limited(rows: DataFrame, count: int, offset: int = 0, key: str | None = KEY)
 
 
 def renumbered(rows: DataFrame, start: int, key: str = KEY) -> DataFrame:
-    """Row keys become start, start + 1, ... in their order, without a pass through one task.
+    """Row keys become start, start + 1, ... in their order, without a pass through one task; ``rows`` themselves if none has a key.
 
     The keys' range is cut into ``RANGES`` equal parts, and a part of more than ``MOST_ROWS`` rows again by its own range, until parts are
     small (unique 64-bit keys need four cuts at most); each part's first number follows from the counts of the parts before (a row per part).
+    Rows are computed twice: for their keys, which stay on disk while parts are counted, and for the result. Counts stay cached, as the result reads them.
     """
-    low, high = rows.agg(F.min(key), F.max(key)).first()
-    if low is None:
-        return rows
-    width = -(-(high - low + 1) // RANGES)
-    parts = ["_cf_part0"]
-    parted = rows.withColumn("_cf_part0", F.call_function("div", F.col(key) - low, F.lit(width)))
-    while True:
-        counts = parted.groupBy(*parts).agg(F.count(F.lit(1)).alias("_cf_n"), F.min(key).alias("_cf_low"), F.max(key).alias("_cf_high"))
-        large = counts.where((F.col("_cf_n") > MOST_ROWS) & (F.col("_cf_high") > F.col("_cf_low")))
-        if len(parts) == 4 or not large.head(1):
-            break
-        width = F.call_function("div", F.col("_cf_high") - F.col("_cf_low"), F.lit(RANGES)) + 1
-        ranges = F.broadcast(large.select(*parts, "_cf_low", width.alias("_cf_width")))
-        name = f"_cf_part{len(parts)}"
-        cut = F.coalesce(F.call_function("div", F.col(key) - F.col("_cf_low"), F.col("_cf_width")), F.lit(0))
-        parted = parted.join(ranges, parts, "left").withColumn(name, cut).drop("_cf_low", "_cf_width")
-        parts.append(name)
+    keys = rows.select(key).persist(StorageLevel.DISK_ONLY)
+    try:
+        low, high = keys.agg(F.min(key), F.max(key)).first()
+        if low is None:
+            return rows
+        parts, cuts = ["_cf_part0"], []
+
+        def parted(of: DataFrame) -> DataFrame:
+            out = of.withColumn("_cf_part0", F.call_function("div", F.col(key) - low, F.lit(-(-(high - low + 1) // RANGES))))
+            for i, ranges in enumerate(cuts, 1):
+                cut = F.coalesce(F.call_function("div", F.col(key) - F.col("_cf_low"), F.col("_cf_width")), F.lit(0))
+                out = out.join(ranges, parts[:i], "left").withColumn(f"_cf_part{i}", cut).drop("_cf_low", "_cf_width")
+            return out
+
+        while True:
+            counts = parted(keys).groupBy(*parts).agg(F.count(F.lit(1)).alias("_cf_n"), F.min(key).alias("_cf_low"), F.max(key).alias("_cf_high")).persist()
+            large = counts.where((F.col("_cf_n") > MOST_ROWS) & (F.col("_cf_high") > F.col("_cf_low")))
+            if not large.count() or len(parts) == 4:
+                break
+            width = F.call_function("div", F.col("_cf_high") - F.col("_cf_low"), F.lit(RANGES)) + 1
+            cuts.append(F.broadcast(large.select(*parts, "_cf_low", width.alias("_cf_width"))))
+            parts.append(f"_cf_part{len(parts)}")
+    finally:
+        keys.unpersist()
     before = Window.orderBy(*parts).rowsBetween(Window.unboundedPreceding, -1)
     first = counts.withColumn("_cf_first", F.coalesce(F.sum("_cf_n").over(before), F.lit(0))).select(*parts, "_cf_first")
     own = F.row_number().over(Window.partitionBy(*parts).orderBy(key))
-    return parted.join(F.broadcast(first), parts).withColumn(key, (F.col("_cf_first") + own - 1 + start).cast("long")).select(*rows.columns)
+    return parted(rows).join(F.broadcast(first), parts).withColumn(key, (F.col("_cf_first") + own - 1 + start).cast("long")).select(*rows.columns)
 
 
 def grouped(rows: DataFrame, by: Column, columns: dict[str, Column], simple: dict[str, Column], key: str = KEY, decimals: int | None = None) -> DataFrame:

@@ -40,6 +40,9 @@ class Session:
         self.result: DataFrame | None = None
         self._pending: dict[str, tuple[T.StructType, list[tuple]]] = {}
         self._files: dict[str, DataFrame] = {}
+        #: Whether the last query numbered rows, and the fragments that were found to have rows when stored.
+        self._numbered = False
+        self._filled: set[tuple[str, str]] = set()
 
     # The catalog.
 
@@ -85,6 +88,7 @@ class Session:
             rows.write.mode("overwrite").saveAsTable(f"`{db}`.`{frag}`")
             rows = self.spark.table(f"`{db}`.`{frag}`")
         self.databases[db][frag] = rows
+        self._filled.discard((db, frag))
 
     def drop_fragment(self, name: str) -> None:
         db, frag = self._place(name)
@@ -233,8 +237,10 @@ class Session:
         trees = [ex.parse(t) for t in texts]
         limits = [max(0, int(v)) for v in la.values(q["limit"])] if q.get("limit") else [0]
         rows = sel.limited(rows, limits[-1], limits[0] if len(limits) > 1 else 0)
+        self._numbered = False
         if q.get("sequential_id"):
-            rows = sel.renumbered(rows, int(q["sequential_id"]))
+            given, rows = rows, sel.renumbered(rows, int(q["sequential_id"]))
+            self._numbered = rows is not given
         if q.get("group") or any(ex.aggregates(t) for t in trees):
             out = self._grouped(q, rows, lookup, trees, names, args)
         else:
@@ -301,9 +307,11 @@ class Session:
         rows = self._query(q, args, extra)
         if len(rows.columns) != 2:
             raise SessionError("a fragment has two columns")
-        if not rows.head(1):
+        # Numbering has counted the rows; the lazy ones aren't computed again to see one.
+        if not self._numbered and not rows.head(1):
             raise SessionError("the selection is empty")
         self.store(name, rows)
+        self._filled.add(self._place(name))
 
     def _imported(self, q: dict) -> DataFrame:
         """The fragment of an import: from a long table, whose columns are the dimensions and the measure."""
@@ -375,7 +383,7 @@ class Session:
     def export(self, source: str) -> DataFrame:
         """All rows of a fragment by id."""
         rows = self.fragment(source)
-        if not rows.head(1):
+        if self._place(source) not in self._filled and not rows.head(1):
             raise SessionError(f"fragment {source!r} is empty")
         self.result = rows.orderBy(sel.KEY)
         return self.result

@@ -246,3 +246,22 @@ def test_stream(spark, tmp_path):
     finally:
         run.stop()
     assert windows.sessions(rows, "ts", "k", "v", "45 minutes").count() == 2
+
+
+def test_sequential_ids_compute_rows_twice(spark):
+    """Numbering, storing and exporting a fragment run over its rows for the keys and for the result, not once more per step."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("boolean")
+    def odd(k):
+        seen.add(1)
+        return k % 2 == 1
+
+    s = Session(spark)
+    s.create_database("d")
+    s.use("d")
+    s.store("rows", spark.range(200).where(odd("id")).select(F.col("id").alias("id_dim"), F.array(F.col("id") * 1.0).alias("measure")))
+    s.subset("rows", 10, "reverse(measure)", "part", "size_array(measure) > 0")
+    got = s.export("part").collect()
+    assert [(r["id_dim"], r["measure"]) for r in got] == [(10 + i, [2.0 * i + 1]) for i in range(100)]
+    assert seen.value <= 2 * 200
